@@ -1,3 +1,3 @@
 """Registered queries. Importing `registry` alone has none of them; this package brings them all."""
 
-from stepweave.plans import misc, planning, rollups, scoring, steps  # noqa: F401
+from stepweave.plans import misc, planning, rollups, scoring, steps, streams  # noqa: F401
