@@ -1,4 +1,9 @@
-"""Connected components by label propagation with pointer jumping; each round is a written table in the shared folder."""
+"""Connected components by hooking and pointer jumping; each round is a written table in the shared folder.
+
+Edges are kept as (child, parent), parent the smaller. A round gives each child its smallest parent, hooks its other parents
+to that one, and replaces parents by theirs. Rows are dealt by child, of which a hub has few, so a hub's links are not
+gathered; only the join on the parent meets it, and there Spark splits a skewed side.
+"""
 
 from __future__ import annotations
 
@@ -9,20 +14,19 @@ from stepweave.llm.shared import work_dir, written
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """edges(u, v long) -> (node, component): the smallest node that links reach. Only counts go to the driver."""
-    spark = edges.sparkSession
-    root = work_dir(spark, "components")
-    edges = edges.where("u is not null and v is not null and u <> v")
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    both = written(both.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).select("u", "v"), f"{root}/edges")
-    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("component")), f"{root}/0")
-    for i in range(1, most_rounds + 1):
-        heard = both.join(labels, both.v == labels.node).groupBy(F.col("u").alias("node")).agg(F.min("component").alias("heard"))
-        lower = labels.join(heard, "node").select("node", F.least("component", "heard").alias("component"), F.col("component").alias("old"))
-        up = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        after = written(lower.join(up, "component").select("node", F.least("component", "up").alias("component"), "old"), f"{root}/{i}")
-        changed = after.where("component <> old").limit(1).count()
-        labels = after.select("node", "component")
-        if not changed:
-            return labels
+    """edges(u, v long) -> (node, component): the smallest node that links reach, for each node but these smallest themselves.
+
+    Only one number a round goes to the driver."""
+    root = work_dir(edges.sparkSession, "components")
+    now = edges.where("u <> v").select(F.greatest("u", "v").alias("child"), F.least("u", "v").alias("parent"))
+    for i in range(most_rounds):
+        least = F.array_min("parents")
+        hooks = F.transform(F.array_remove(F.col("parents"), least), lambda p: F.struct(p.alias("child"), least.alias("parent"), F.lit(True).alias("new")))
+        own = F.array(F.struct(F.col("child"), least.alias("parent"), F.lit(False).alias("new")))
+        met = now.groupBy("child").agg(F.collect_set("parent").alias("parents")).select(F.explode(F.concat(own, hooks)).alias("e")).select("e.*")
+        up = met.select(F.col("child").alias("parent"), F.col("parent").alias("up"))
+        jumped = met.join(up, "parent", "left").select("child", F.coalesce("up", "parent").alias("parent"), (F.col("new") | F.col("up").isNotNull()).alias("new"))
+        now = written(jumped, f"{root}/{i}")
+        if not now.where("new").limit(1).count():
+            return now.select(F.col("child").alias("node"), F.col("parent").alias("component"))
     raise RuntimeError(f"components have not settled in {most_rounds} rounds")

@@ -4,13 +4,15 @@ Sets are sorted by one order of all shingles, rare ones first (a sketch over all
 sets above the threshold share shingles near their fronts. The inverted index holds those fronts alone. Two relations
 keep the join from comparing all pairs of a group of near copies:
 
-* Index level. The list of a shingle is sorted by set size and cut in blocks. A block knows its range of sizes and its
-  smallest position, and a block pair in which no two sets can reach the threshold is skipped whole.
-* Answer level. Each set first meets one highly similar set, its leader: the smallest set that it shares most lists with.
-  Sets joined to one leader are one class, and pairs inside a class are never compared. A pair of sets of different classes
-  is compared only if the differences of both to a common leader, known by then, allow it (triangle inequality).
+* Index level. The list of a shingle is sorted by set size and cut in blocks. Classes whose range of sizes is out of reach of a
+  block are skipped for the whole block, and so are those whose positions leave too few shingles to reach the threshold.
+* Answer level. Each set first meets one highly similar set, its leader: the smallest set of the lists that it shares most of.
+  A set that links with its leader takes over the leader's answer, its class, and is never compared inside it. What is left
+  is sets that meet another class: the set of the smaller class asks, and an inverted index over whole sets of the larger one
+  answers for all of them at once. A set and a class stand once for each list that brings them together, not once a pair.
 
-Sizes are checked exactly on whole sets. Each skip is a bound, so no link between two classes is lost.
+Overlaps are exact, on whole sets. Each skip is a bound (sizes, places in the fronts, shared front shingles), so no link
+between two classes is lost.
 
 Null texts and texts without words have no shingles: they link with nothing and are their own class (component_id is the
 doc_id). Rows of one set (exact copies, repeated rows) are one class. A null doc_id never is a component_id if its class has
@@ -38,8 +40,8 @@ SHINGLE = 5
 #: Cells of the sketch that orders shingles.
 ORDER_CELLS = 1 << 21
 BLOCK = 64
-#: Sets that meet their leader in one task.
-GROUP = 256
+#: Sets of a class, and sets that ask for it, that meet in one task.
+GROUP, ASKERS = 256, 1024
 #: Beyond the shortest front, so many hundredths of the set are indexed: a pair must share as many more of them.
 EXTRA = 5
 
@@ -69,6 +71,16 @@ def front(n, percent: int):
     return np.minimum(n, n - (-(-percent * n // 100)) + 1 + EXTRA * n // 100)
 
 
+def _own_share(own: str, n: str, m: str, percent: int) -> str:
+    """SQL: shingles of the front of a set of `own` that it shares with its partner, at least, if the two (n, m) link."""
+    front_of = f"least({own}, {own} - cast(ceil({percent} * {own} / 100) as long) + 1 + cast(floor({EXTRA} * {own} / 100) as long))"
+    return f"({front_of} - {own} + cast(ceil({percent} * ({n} + {m}) / {100 + percent}) as long))"
+
+
+def _least_shared(n: str, m: str, percent: int) -> str:
+    return f"least({_own_share(n, n, m, percent)}, {_own_share(m, n, m, percent)})"
+
+
 def _keys(n: int):
     def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         data, offsets = binary_parts(batch.column(1))
@@ -153,66 +165,67 @@ def _whole_lists(batches, columns: int) -> Iterator[list[np.ndarray]]:
         yield rest
 
 
-def _lists(percent: int):
-    """Lists of two sets or more, as postings with the leader of each: the smallest set of the list that its size allows."""
-
-    def rows(batches):
-        for shingle, sets, at in _whole_lists(batches, 3):
-            cuts = _runs(shingle)
-            counts = np.diff(cuts)
-            keep = np.repeat(counts > 1, counts)
-            if not keep.any():
-                continue
-            counts = counts[counts > 1]
-            shingle, sets, at = shingle[keep], sets[keep], at[keep]
-            begins = np.cumsum(counts) - counts
-            leader = np.repeat(np.minimum.reduceat(sets, begins), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(sets), pa.array(at), pa.array(leader)], names=["shingle", "set_id", "at", "leader"])
+def _lists(batches):
+    """Lists of two sets or more, as postings with the leader of each list, its smallest set."""
+    for shingle, sets, at in _whole_lists(batches, 3):
+        cuts = _runs(shingle)
+        counts = np.diff(cuts)
+        keep = np.repeat(counts > 1, counts)
+        if not keep.any():
+            continue
+        counts = counts[counts > 1]
+        shingle, sets, at = shingle[keep], sets[keep], at[keep]
+        order = np.lexsort((sets, shingle))
+        shingle, sets, at = shingle[order], sets[order], at[order]
+        begins = np.cumsum(counts) - counts
+        leader, size = np.repeat(sets[begins], counts), np.repeat(at[begins] >> 32, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shingle, sets, at, leader, size)], names=["shingle", "set_id", "at", "leader", "leader_n"])
 
-    return rows
 
+def _meetings(percent: int):
+    """(set, class) that a list brings together: a set of the smaller class, and the larger class of another.
 
-def _pairs(percent: int):
-    """Pairs of different classes that a list brings together, if their sizes and places allow the threshold."""
-
-    def of_blocks(sets, size, place, comp):
-        m = len(sets)
-        order = np.lexsort((place, size))
-        sets, size, place, comp = sets[order], size[order], place[order], comp[order]
-        blocks = [(i, min(i + BLOCK, m)) for i in range(0, m, BLOCK)]
-        least, most = [int(place[a:b].min()) for a, b in blocks], [int(place[a:b].max()) for a, b in blocks]
-        for i, (a, b) in enumerate(blocks):
-            for j in range(i, len(blocks)):
-                c, d = blocks[j]
-                if 100 * int(size[b - 1]) < percent * int(size[c]):
-                    break  # this block and all after it are too large
-                best = min(most[i], most[j]) + 1 + min(int(size[b - 1]) - least[i] - 1, int(size[d - 1]) - least[j] - 1)
-                if best < int(least_overlap(int(size[a]), int(size[c]), percent)):
-                    continue
-                if comp[a] == comp[d - 1] and (comp[a:b] == comp[a]).all() and (comp[c:d] == comp[a]).all():
-                    continue
-                n, k, p, q = size[a:b, None], size[None, c:d], place[a:b, None], place[None, c:d]
-                ok = (comp[a:b, None] != comp[None, c:d]) & (sets[a:b, None] != sets[None, c:d])
-                ok &= np.minimum(p, q) + 1 + np.minimum(n - p - 1, k - q - 1) >= least_overlap(n, k, percent)
-                if i == j:
-                    ok &= np.arange(a, b)[:, None] < np.arange(c, d)[None, :]
-                x, y = np.nonzero(ok)
-                if len(x):
-                    u, v = sets[a + x], sets[c + y]
-                    flip = u > v
-                    nu, nv = size[a + x], size[c + y]
-                    yield np.where(flip, v, u), np.where(flip, u, v), np.where(flip, nv, nu), np.where(flip, nu, nv)
+    The list is sorted by size and cut in blocks; a block of sets and the range of sizes of a class are skipped as one if they
+    can't reach the threshold. A class stands once for each list, however many of its sets are there."""
 
     def rows(batches):
-        for shingle, sets, at, comp in _whole_lists(batches, 4):
+        for shingle, sets, at, comp, weight in _whole_lists(batches, 5):
             cuts = _runs(shingle)
             found = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b - a > 1 and (comp[a:b] != comp[a]).any():
-                    found += of_blocks(sets[a:b], at[a:b] >> 32, at[a:b] & 0xFFFFFFFF, comp[a:b])
+                own = comp[a:b]
+                if b - a < 2 or (own == own[0]).all():
+                    continue
+                n, place = at[a:b] >> 32, at[a:b] & 0xFFFFFFFF
+                classes, back = np.unique(own, return_inverse=True)
+                least, most = np.full(len(classes), 1 << 40), np.zeros(len(classes), dtype=np.int64)
+                np.minimum.at(least, back, n)
+                np.maximum.at(most, back, n)
+                furthest = np.zeros(len(classes), dtype=np.int64)
+                np.maximum.at(furthest, back, place)
+                heavy = np.zeros(len(classes), dtype=np.int64)
+                heavy[back] = weight[a:b]
+                order = np.argsort(n, kind="stable")
+                by_least = np.argsort(least, kind="stable")
+                for i in range(0, b - a, BLOCK):
+                    some = order[i : i + BLOCK]
+                    low, high = int(n[some[0]]), int(n[some[-1]])
+                    # sizes within reach of the block
+                    near = by_least[(percent * least[by_least] <= 100 * high) & (100 * most[by_least] >= percent * low)]
+                    if not len(near):
+                        continue
+                    x, m, p = n[some, None], most[near][None, :], place[some, None]
+                    first = np.maximum(np.minimum(least[near][None, :], m), -(-percent * x // 100))
+                    ok = (percent * least[near][None, :] <= 100 * x) & (100 * m >= percent * x)
+                    ok &= np.minimum(p, furthest[near][None, :]) + x - p >= least_overlap(x, np.minimum(first, m), percent)
+                    mine, theirs = heavy[back[some]][:, None], heavy[near][None, :]
+                    ok &= (mine < theirs) | ((mine == theirs) & (classes[back[some]][:, None] < classes[near][None, :]))
+                    i_, j_ = np.nonzero(ok)
+                    if len(i_):
+                        found.append((sets[a:b][some[i_]], classes[near[j_]], n[some[i_]]))
             if found:
-                u, v, nu, nv = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(nu), pa.array(nv)], names=["u", "v", "nu", "nv"])
+                u, v, k = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(k)], names=["set_id", "class", "n"])
 
     return rows
 
@@ -236,25 +249,43 @@ def _arrays(wanted, bits: int, n: int):
     return rows
 
 
-def _overlaps(batches):
-    """Of rows sorted by group and salt, the leader first: the shared shingles of the leader and each member."""
-    group, own = None, None
-    for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(5)]
-        us, vs, ns, ms, shared = [], [], [], [], []
-        for leader, salt, member, first, shingles in zip(*columns, strict=True):
-            found = np.frombuffer(shingles, dtype=np.uint64)
-            if first == 0:
-                if (leader, salt) != group:
-                    group, own = (leader, salt), found
-                continue
-            us.append(leader)
-            vs.append(member)
-            ns.append(len(own))
-            ms.append(len(found))
-            shared.append(len(own) + len(found) - len(np.union1d(own, found)))
-        if us:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (us, vs, ns, ms, shared)], names=["u", "v", "nu", "nv", "shared"])
+def _block_links(percent: int):
+    """Of rows sorted by group and salt, `asks` false first: an inverted index of the first ones' whole sets, and for each set that
+    asks, the smallest of them that it links with.
+
+    One pass over the shingles of a set gives its overlaps with all sets of the block."""
+
+    def rows(batches):
+        name, names, held, index = None, [], [], None
+        for batch in batches:
+            groups, salts, sets, asks, shingles = (batch.column(i).to_pylist() for i in range(5))
+            us, vs = [], []
+            for g, salt, s, ask, raw in zip(groups, salts, sets, asks, shingles, strict=True):
+                found = np.frombuffer(raw, dtype=np.uint64)
+                if (g, salt) != name:
+                    name, names, held, index = (g, salt), [], [], None
+                if not ask:
+                    names.append(s)
+                    held.append(found)
+                    continue
+                if index is None:
+                    sizes = np.array([len(x) for x in held], dtype=np.int64)
+                    keys, owners = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
+                    order = np.argsort(keys, kind="stable")
+                    index = np.array(names, dtype=np.int64), sizes, keys[order], owners[order]
+                ids, sizes, keys, owners = index
+                a, b = np.searchsorted(keys, found, side="left"), np.searchsorted(keys, found, side="right")
+                n = b - a
+                at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+                shared = np.bincount(owners[at], minlength=len(ids))
+                met = np.flatnonzero((100 * shared >= percent * (sizes + len(found) - shared)) & (shared > 0) & (ids != s))
+                if len(met):
+                    us.append(s)
+                    vs.append(int(ids[met].min()))
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return rows
 
 
 def _bloom(digests: DataFrame, width: int) -> np.ndarray:
@@ -267,27 +298,33 @@ def _bloom(digests: DataFrame, width: int) -> np.ndarray:
     return repeated_cells(digests, keys_of, width)[0]
 
 
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """pairs(u, v) -> (u, v, nu, nv, shared), from whole sets. A hot leader's members are dealt over many tasks."""
+def _verified(docs: DataFrame, sets: DataFrame, asked: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """asked(set_id, group), members(set_id, group) -> links (u, v) between a set that asks and a member, from whole sets.
+
+    A group is dealt as blocks of GROUP members times parts of ASKERS sets that ask: a hot group is many tasks."""
     spark = docs.sparkSession
-    members = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("k")).withColumn("parts", F.ceil(F.col("k") / GROUP).cast("int"))
-    roles = pairs.join(members, "u").select(F.col("u").alias("leader"), F.expr("pmod(hash(v), parts)").alias("salt"), F.col("v").alias("member"), F.lit(1).alias("first"))
-    roles = roles.union(members.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "u", F.lit(0)))
-    roles = roles.join(sets.where("set_id is not null").select(F.col("set_id").alias("member"), "digest"), "member")
+    count = lambda df, most, name: df.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    parts = count(members, GROUP, "blocks").join(count(asked, ASKERS, "parts"), "group")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c: F.expr(f"cast(pmod(xxhash64(set_id), {c}) as int)")
+    asking = asked.join(parts, "group").select("group", every("blocks").alias("block"), own("parts").alias("part"), "set_id", F.lit(True).alias("asks"))
+    held = members.join(parts, "group").select("group", own("blocks").alias("block"), every("parts").alias("part"), "set_id", F.lit(False).alias("asks"))
+    roles = held.union(asking).withColumn("salt", F.expr("block * 65536L + part")).drop("block", "part")
+    roles = roles.join(sets.where("set_id is not null").select("set_id", "digest"), "set_id")
+    roles = written(roles, work_dir(spark, "jaccard-roles"))
     wanted = roles.select("digest").distinct()
-    width = width_for(wanted.count(), most=1 << 27)
+    width = width_for(roles.count(), most=1 << 27)
     bits = spark.sparkContext.broadcast(_bloom(wanted, width))
     arrays = docs.select("text").mapInArrow(_arrays(bits, width, n), "digest long, shingles binary")
     arrays = arrays.groupBy("digest").agg(F.first("shingles").alias("shingles"))
-    ready = roles.join(arrays, "digest").select("leader", "salt", "member", "first", "shingles")
-    return ready.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "first").mapInArrow(_overlaps, "u long, v long, nu long, nv long, shared long")
+    ready = roles.join(arrays, "digest").select("group", "salt", "set_id", "asks", "shingles")
+    return ready.repartition("group", "salt").sortWithinPartitions("group", "salt", "asks").mapInArrow(_block_links(percent), "u long, v long")
 
 
 def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, n_shingles, component_id, n_set_links, set_id), a row for each of docs.
+    """docs (doc_id, text) -> (doc_id, n_shingles, component_id), a row for each of docs.
 
-    component_id: the smallest doc_id that links reach. n_set_links: verified links of the set by which its class was found
-    (not all links inside a class)."""
+    component_id: the smallest doc_id that links reach."""
     spark = docs.sparkSession
     text_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -300,41 +337,41 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
     width = width_for(indexed // 8)
     bits = spark.sparkContext.broadcast(repeated_cells(fronts.select("front"), _front_keys, width))
     postings = fronts.select("set_id", "n", "front").mapInArrow(_postings(bits, width), "shingle long, set_id long, at long")
-    lists = postings.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_lists(percent), "shingle long, set_id long, at long, leader long")
+    lists = postings.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_lists, "shingle long, set_id long, at long, leader long, leader_n long")
     lists = written(lists, f"{root}/lists")
 
-    # each set and its leader
-    met = lists.where("set_id <> leader").groupBy("set_id", "leader").agg(F.count(F.lit(1)).alias("k"))
-    star = met.groupBy("set_id").agg(F.max_by("leader", F.struct(F.col("k"), -F.col("leader"))).alias("leader"))
-    star = written(star.select(F.col("leader").alias("u"), F.col("set_id").alias("v")), f"{root}/star")
-    measured = written(_verified(docs, sets, star, shingle), f"{root}/measured")
-    above = F.expr(f"100 * shared >= {percent} * (nu + nv - shared)")
+    # each set and its leader, if they share as many indexed shingles as a link needs
+    size = F.expr("shiftright(at, 32)").alias("n")
+    met = lists.where("set_id <> leader").groupBy("set_id", "leader", size, "leader_n").agg(F.count(F.lit(1)).alias("k"))
+    met = met.where(f"{percent} * leader_n <= 100 * n and {percent} * n <= 100 * leader_n and k >= {_least_shared('n', 'leader_n', percent)}")
+    star = written(met.groupBy("set_id").agg(F.max_by("leader", F.struct(F.col("k"), -F.col("leader"))).alias("group")), f"{root}/star")
+    leaders = star.select(F.col("group").alias("set_id"), "group").distinct()
     same = sets.where("fp is not null").groupBy("fp").agg(F.min("set_id").alias("u"))
     copies = fronts.select("fp", F.col("set_id").alias("v")).join(same, "fp").where("u <> v").select("u", "v")
-    links = measured.where(above).select("u", "v").union(copies)
-    classes = components(links)
-
-    # pairs of different classes
-    placed = lists.join(classes.withColumnRenamed("node", "set_id"), "set_id", "left").select("shingle", "set_id", "at", F.coalesce("component", "set_id").alias("comp"))
-    pairs = placed.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_pairs(percent), "u long, v long, nu long, nv long")
-    pairs = pairs.groupBy("u", "v", "nu", "nv").agg(F.count(F.lit(1)).alias("k"))
-    need = "cast(ceil({p} * (nu + nv) / {q}) as long)".format(p=percent, q=100 + percent)
-    part = "least({n}, {n} - cast(ceil({p} * {n} / 100) as long) + 1 + cast(floor({e} * {n} / 100) as long))"
-    pairs = pairs.where(f"k >= least({part.format(n='nu', p=percent, e=EXTRA)} - nu, {part.format(n='nv', p=percent, e=EXTRA)} - nv) + {need}")
-    apart = measured.select("v", F.col("u").alias("leader"), (F.col("nu") + F.col("nv") - 2 * F.col("shared")).alias("far"))
-    a, b = apart.select(F.col("v").alias("u"), F.col("leader").alias("lu"), F.col("far").alias("fu")), apart.select("v", F.col("leader").alias("lv"), F.col("far").alias("fv"))
-    pairs = pairs.join(a, "u", "left").join(b, "v", "left")
-    pairs = pairs.where("(lu is null or lu <> v) and (lv is null or lv <> u)")  # measured already
-    pairs = pairs.where(f"lu is null or lv is null or lu <> lv or abs(fu - fv) <= nu + nv - 2 * {need}")
-    pairs = written(pairs.select("u", "v"), f"{root}/pairs")
-    more = written(_verified(docs, sets, pairs, shingle), f"{root}/more").where(above).select("u", "v")
-
-    linked = links.union(more)
-    final = components(linked)
-    degree = linked.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_set_links"))
-    of_set = same.join(final.join(degree, "node", "left"), same.u == F.col("node"), "left").select("fp", F.col("u").alias("own_set"), F.coalesce("component", "u").alias("comp"), F.coalesce("n_set_links", F.lit(0)).cast("long").alias("n_set_links"))
+    links = written(_verified(docs, sets, star, leaders, shingle, percent).union(copies), f"{root}/links")
+    classes = written(components(links), f"{root}/classes")
+
+    # sets and other classes
+    weights = classes.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("weight"))
+    every = classes.union(weights.select("component", "component")).join(weights, "component")
+    placed = lists.join(every.withColumnRenamed("node", "set_id"), "set_id", "left")
+    placed = placed.select("shingle", "set_id", "at", F.coalesce("component", "set_id").alias("comp"), F.coalesce("weight", F.lit(1)).alias("weight"))
+    meet = placed.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_meetings(percent), "set_id long, class long, n long")
+    meet = meet.groupBy("set_id", "class", "n").agg(F.count(F.lit(1)).alias("k"))
+    # the smallest partner needs least of the set's front; the largest least of its own, up to 3 by rounding
+    low, high = f"cast(ceil({percent} * n / 100) as long)", f"cast(floor(100 * n / {percent}) as long)"
+    need = f"least({_own_share('n', 'n', low, percent)}, {_own_share(high, 'n', high, percent)} - 3)"
+    meet = written(meet.where(f"k >= {need}").select("set_id", F.col("class").alias("group")), f"{root}/meetings")
+    known = every.select(F.col("node").alias("set_id"), F.col("component").alias("own"))
+    asked_for = meet.select("group").distinct()
+    inside = known.join(asked_for, known.own == asked_for.group, "left_semi").select("set_id", F.col("own").alias("group"))
+    lone = asked_for.join(known, asked_for.group == known.set_id, "left_anti").select(F.col("group").alias("set_id"), "group")
+    more = written(_verified(docs, sets, meet, inside.union(lone), shingle, percent), f"{root}/more")
+
+    final = components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+    of_set = same.join(final.withColumnRenamed("node", "u"), "u", "left").select("fp", F.coalesce("component", "u").alias("comp"))
     placed = sets.where("fp is not null").select("doc_id", "n", "fp").join(of_set, "fp")
     smallest = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = placed.join(smallest, "comp").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_set_links", F.col("own_set").alias("set_id"))
-    alone = sets.where("fp is null").select("doc_id", F.lit(0).cast("long"), "doc_id", F.lit(0).cast("long"), F.lit(None).cast("long"))
+    named = placed.join(smallest, "comp").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    alone = sets.where("fp is null").select("doc_id", F.lit(0).cast("long"), "doc_id")
     return named.union(alone)

@@ -58,15 +58,21 @@ class _Partial:
             per_row = max(1, self.width // SLICE)
             part = cells // SLICE
             cuts = np.searchsorted(part, np.arange(per_row + 1))
-            rows = [i for i in range(per_row) if cuts[i] < cuts[i + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([row * per_row + i for i in rows], pa.int32()),
-                    pa.array([(cells[cuts[i] : cuts[i + 1]] % SLICE).astype(np.uint32).tobytes() for i in rows], pa.binary()),
-                    pa.array([counts[cuts[i] : cuts[i + 1]].tobytes() for i in rows], pa.binary()),
-                ],
-                names=["slice", "cells", "counts"],
-            )
+            rows, places, numbers = [], [], []
+            for i in range(per_row):
+                own, n = cells[cuts[i] : cuts[i + 1]] % SLICE, counts[cuts[i] : cuts[i + 1]]
+                if not len(own):
+                    continue
+                rows.append(row * per_row + i)
+                if 5 * len(own) < min(SLICE, self.width):
+                    places.append(own.astype(np.uint32).tobytes())
+                    numbers.append(n.tobytes())
+                else:  # a byte for every cell of the slice is less
+                    every = np.zeros(min(SLICE, self.width), dtype=np.uint8)
+                    every[own] = n
+                    places.append(b"")
+                    numbers.append(every.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(places, pa.binary()), pa.array(numbers, pa.binary())], names=["slice", "cells", "counts"])
 
 
 def _merged(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], width: int, depth: int, out: str, finish) -> DataFrame:
@@ -84,7 +90,11 @@ def _merged(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarr
                 at = total.get(part)
                 if at is None:
                     at = total[part] = np.zeros(min(SLICE, width), dtype=np.uint32)
-                at[np.frombuffer(cells, dtype=np.uint32)] += np.frombuffer(counts, dtype=np.uint8)
+                counts = np.frombuffer(counts, dtype=np.uint8)
+                if cells:
+                    at[np.frombuffer(cells, dtype=np.uint32)] += counts
+                else:
+                    at += counts
         for part, counts in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([finish(counts)], pa.binary())], names=["slice", "cells"])
 
