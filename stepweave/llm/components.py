@@ -7,7 +7,7 @@ gathered; only the join on the parent meets it, and there Spark splits a skewed
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stepweave.llm.shared import work_dir, written
@@ -26,7 +26,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         met = now.groupBy("child").agg(F.collect_set("parent").alias("parents")).select(F.explode(F.concat(own, hooks)).alias("e")).select("e.*")
         up = met.select(F.col("child").alias("parent"), F.col("parent").alias("up"))
         jumped = met.join(up, "parent", "left").select("child", F.coalesce("up", "parent").alias("parent"), (F.col("new") | F.col("up").isNotNull()).alias("new"))
-        now = written(jumped, f"{root}/{i}")
-        if not now.where("new").limit(1).count():
+        moved = Observation()
+        now = written(jumped.observe(moved, F.count_if("new").alias("n")), f"{root}/{i}")
+        if not moved.get["n"]:
             return now.select(F.col("child").alias("node"), F.col("parent").alias("component"))
     raise RuntimeError(f"components have not settled in {most_rounds} rounds")

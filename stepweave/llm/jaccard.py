@@ -21,13 +21,11 @@ another; a class of nulls alone has null. An empty table gives an empty one.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,38 +88,46 @@ def _keys(n: int):
     return keys_of
 
 
-_SETS = "doc_id long, n int, fp binary, digest long, set_id long, front binary"
+_SETS = "doc_id long, n int, set_id long, digest long, front binary"
+
+
+def name_of(shingles: np.ndarray) -> int | None:
+    """A set's name, from its shingles: equal sets have one name wherever they are met."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) >> 1 if len(shingles) else None
 
 
 def _sets(order, n: int, percent: int):
-    """A row a document; set_id and the front only where the task first meets the set."""
+    """A row a document; the digest of its text and the front only where the task first meets the set."""
 
     def rows(batches):
-        level, seen, task = order.value, set(), TaskContext.get().partitionId()
+        level, seen = order.value, set()
         for batch in batches:
             data, offsets = binary_parts(batch.column(1))
-            sizes, fps, digests, ids, fronts = [], [], [], [], []
+            sizes, names, digests, fronts = [], [], [], []
             for d, found in shingle_sets(data, offsets, n):
+                name = name_of(found)
                 sizes.append(len(found))
-                fp = hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
-                fps.append(fp)
-                digests.append(xxhash.xxh3_64_intdigest(data[offsets[d] : offsets[d + 1]].tobytes()) - (1 << 63))
-                if fp is None or fp in seen:
-                    ids.append(None)
+                names.append(name)
+                if name is None or name in seen:
+                    digests.append(None)
                     fronts.append(None)
                     continue
-                ids.append((task << 40) + len(seen))
-                seen.add(fp)
+                seen.add(name)
+                digests.append(_digest(data[offsets[d] : offsets[d + 1]].tobytes()))
                 rank = (level[cells_of(found, 0, ORDER_CELLS)].astype(np.uint64) << np.uint64(56)) | (found >> np.uint64(8))
                 fronts.append(found[np.argsort(rank, kind="stable")[: front(len(found), percent)]].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(fps, pa.binary()), pa.array(digests, pa.int64()), pa.array(ids, pa.int64()), pa.array(fronts, pa.binary())],
-                names=["doc_id", "n", "fp", "digest", "set_id", "front"],
+                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), pa.array(digests, pa.int64()), pa.array(fronts, pa.binary())],
+                names=["doc_id", "n", "set_id", "digest", "front"],
             )
 
     return rows
 
 
+def _digest(text: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
 def _front_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     data, offsets = binary_parts(batch.column(0))
     yield np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), dtype=np.uint64)
@@ -166,17 +172,19 @@ def _whole_lists(batches, columns: int) -> Iterator[list[np.ndarray]]:
 
 
 def _lists(batches):
-    """Lists of two sets or more, as postings with the leader of each list, its smallest set."""
+    """Lists of two sets or more, as postings with the leader of each list, its smallest set. Tasks may have met a set each: once here."""
     for shingle, sets, at in _whole_lists(batches, 3):
-        cuts = _runs(shingle)
-        counts = np.diff(cuts)
+        order = np.lexsort((sets, shingle))
+        shingle, sets, at = shingle[order], sets[order], at[order]
+        new = np.ones(len(sets), dtype=bool)
+        new[1:] = (shingle[1:] != shingle[:-1]) | (sets[1:] != sets[:-1])
+        shingle, sets, at = shingle[new], sets[new], at[new]
+        counts = np.diff(_runs(shingle))
         keep = np.repeat(counts > 1, counts)
         if not keep.any():
             continue
         counts = counts[counts > 1]
         shingle, sets, at = shingle[keep], sets[keep], at[keep]
-        order = np.lexsort((sets, shingle))
-        shingle, sets, at = shingle[order], sets[order], at[order]
         begins = np.cumsum(counts) - counts
         leader, size = np.repeat(sets[begins], counts), np.repeat(at[begins] >> 32, counts)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shingle, sets, at, leader, size)], names=["shingle", "set_id", "at", "leader", "leader_n"])
@@ -230,21 +238,21 @@ def _meetings(percent: int):
     return rows
 
 
-def _arrays(wanted, bits: int, n: int):
+def _arrays(wanted, width: int, n: int):
     """Whole sets of the texts whose digest is wanted (a bloom filter may let others through; the join drops them)."""
 
     def rows(batches):
         seen = set()
         for batch in batches:
             data, offsets = binary_parts(batch.column(0))
-            digests = np.array([xxhash.xxh3_64_intdigest(data[offsets[i] : offsets[i + 1]].tobytes()) - (1 << 63) for i in range(len(offsets) - 1)], dtype=np.int64)
-            hit = np.flatnonzero(test_bits(wanted.value, digests.view(np.uint64), bits)) if len(digests) else []
-            hit = [i for i in hit if not (digests[i] in seen or seen.add(int(digests[i])))]
+            digests = np.array([_digest(data[offsets[i] : offsets[i + 1]].tobytes()) for i in range(len(offsets) - 1)], dtype=np.int64)
+            hit = np.flatnonzero(test_bits(wanted.value, digests.view(np.uint64), width)) if len(digests) else []
             if not len(hit):
                 continue
             texts = pa.array([data[offsets[i] : offsets[i + 1]].tobytes() for i in hit], pa.binary())
-            sets = [found.tobytes() for _, found in shingle_sets(*binary_parts(texts), n)]
-            yield pa.RecordBatch.from_arrays([pa.array(digests[hit]), pa.array(sets, pa.binary())], names=["digest", "shingles"])
+            found = {name: s.tobytes() for _, s in shingle_sets(*binary_parts(texts), n) if (name := name_of(s)) is not None and name not in seen}
+            seen.update(found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["set_id", "shingles"])
 
     return rows
 
@@ -310,14 +318,13 @@ def _verified(docs: DataFrame, sets: DataFrame, asked: DataFrame, members: DataF
     asking = asked.join(parts, "group").select("group", every("blocks").alias("block"), own("parts").alias("part"), "set_id", F.lit(True).alias("asks"))
     held = members.join(parts, "group").select("group", own("blocks").alias("block"), every("parts").alias("part"), "set_id", F.lit(False).alias("asks"))
     roles = held.union(asking).withColumn("salt", F.expr("block * 65536L + part")).drop("block", "part")
-    roles = roles.join(sets.where("set_id is not null").select("set_id", "digest"), "set_id")
-    roles = written(roles, work_dir(spark, "jaccard-roles"))
-    wanted = roles.select("digest").distinct()
+    named = sets.where("digest is not null").groupBy("set_id").agg(F.min("digest").alias("digest"))
+    roles = written(roles.join(named, "set_id"), work_dir(spark, "jaccard-roles"))
     width = width_for(roles.count(), most=1 << 27)
-    bits = spark.sparkContext.broadcast(_bloom(wanted, width))
-    arrays = docs.select("text").mapInArrow(_arrays(bits, width, n), "digest long, shingles binary")
-    arrays = arrays.groupBy("digest").agg(F.first("shingles").alias("shingles"))
-    ready = roles.join(arrays, "digest").select("group", "salt", "set_id", "asks", "shingles")
+    bits = spark.sparkContext.broadcast(_bloom(roles.select("digest"), width))
+    arrays = docs.select("text").mapInArrow(_arrays(bits, width, n), "set_id long, shingles binary")
+    arrays = arrays.groupBy("set_id").agg(F.first("shingles").alias("shingles"))
+    ready = roles.join(arrays, "set_id").select("group", "salt", "set_id", "asks", "shingles")
     return ready.repartition("group", "salt").sortWithinPartitions("group", "salt", "asks").mapInArrow(_block_links(percent), "u long, v long")
 
 
@@ -332,7 +339,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
     order = spark.sparkContext.broadcast(levels(docs, _keys(shingle), ORDER_CELLS))
     sets = written(docs.mapInArrow(_sets(order, shingle, percent), _SETS), f"{root}/sets")
 
-    fronts = sets.where("set_id is not null")
+    fronts = sets.where("front is not null")
     indexed = fronts.agg(F.sum(F.octet_length("front")).alias("n")).first().n or 0
     width = width_for(indexed // 8)
     bits = spark.sparkContext.broadcast(repeated_cells(fronts.select("front"), _front_keys, width))
@@ -346,9 +353,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
     met = met.where(f"{percent} * leader_n <= 100 * n and {percent} * n <= 100 * leader_n and k >= {_least_shared('n', 'leader_n', percent)}")
     star = written(met.groupBy("set_id").agg(F.max_by("leader", F.struct(F.col("k"), -F.col("leader"))).alias("group")), f"{root}/star")
     leaders = star.select(F.col("group").alias("set_id"), "group").distinct()
-    same = sets.where("fp is not null").groupBy("fp").agg(F.min("set_id").alias("u"))
-    copies = fronts.select("fp", F.col("set_id").alias("v")).join(same, "fp").where("u <> v").select("u", "v")
-    links = written(_verified(docs, sets, star, leaders, shingle, percent).union(copies), f"{root}/links")
+    links = _verified(docs, sets, star, leaders, shingle, percent)
     classes = written(components(links), f"{root}/classes")
 
     # sets and other classes
@@ -362,16 +367,14 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
     low, high = f"cast(ceil({percent} * n / 100) as long)", f"cast(floor(100 * n / {percent}) as long)"
     need = f"least({_own_share('n', 'n', low, percent)}, {_own_share(high, 'n', high, percent)} - 3)"
     meet = written(meet.where(f"k >= {need}").select("set_id", F.col("class").alias("group")), f"{root}/meetings")
-    known = every.select(F.col("node").alias("set_id"), F.col("component").alias("own"))
-    asked_for = meet.select("group").distinct()
-    inside = known.join(asked_for, known.own == asked_for.group, "left_semi").select("set_id", F.col("own").alias("group"))
-    lone = asked_for.join(known, asked_for.group == known.set_id, "left_anti").select(F.col("group").alias("set_id"), "group")
-    more = written(_verified(docs, sets, meet, inside.union(lone), shingle, percent), f"{root}/more")
-
+    groups = meet.select("group").distinct()
+    members = classes.select(F.col("node").alias("set_id"), F.col("component").alias("group")).join(groups, "group", "left_semi").select("set_id", "group")
+    members = members.union(groups.select(F.col("group").alias("set_id"), "group"))  # the smallest set of a class gives it its name
+    more = _verified(docs, sets, meet, members, shingle, percent)
     final = components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
-    of_set = same.join(final.withColumnRenamed("node", "u"), "u", "left").select("fp", F.coalesce("component", "u").alias("comp"))
-    placed = sets.where("fp is not null").select("doc_id", "n", "fp").join(of_set, "fp")
-    smallest = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = placed.join(smallest, "comp").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    alone = sets.where("fp is null").select("doc_id", F.lit(0).cast("long"), "doc_id")
-    return named.union(alone)
+
+    known = sets.where("set_id is not null").select("doc_id", "n", F.col("set_id").alias("node")).join(final, "node", "left")
+    known = known.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "node").alias("class"))
+    smallest = known.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    alone = sets.where("set_id is null").select("doc_id", F.lit(0).cast("long"), "doc_id")
+    return known.join(smallest, "class").select("doc_id", "n_shingles", "component_id").union(alone)

@@ -109,7 +109,7 @@ def repeated_cells(df: DataFrame, keys_of, width: int, hot: int = 200) -> tuple[
 
     size = min(SLICE, width) // 8
     found = np.zeros((2, DEPTH * width // 8), dtype=np.uint8)
-    for part, cells in _merged(df, keys_of, width, DEPTH, "slice int, cells binary", finish).toLocalIterator():
+    for part, cells in _merged(df, keys_of, width, DEPTH, "slice int, cells binary", finish).collect():
         both = np.frombuffer(bytes(cells), dtype=np.uint8)
         found[0, part * size : (part + 1) * size], found[1, part * size : (part + 1) * size] = both[:size], both[size:]
     return found[0], found[1]
@@ -123,7 +123,7 @@ def levels(df: DataFrame, keys_of, width: int = 1 << 21) -> np.ndarray:
 
     size = min(SLICE, width)
     found = np.zeros(width, dtype=np.uint8)
-    for part, cells in _merged(df, keys_of, width, 1, "slice int, cells binary", finish).toLocalIterator():
+    for part, cells in _merged(df, keys_of, width, 1, "slice int, cells binary", finish).collect():
         found[part * size : (part + 1) * size] = np.frombuffer(bytes(cells), dtype=np.uint8)
     return found
 
