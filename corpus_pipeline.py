@@ -50,8 +50,7 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_labelled")).where("_labelled is not null").distinct()
-    labelled = docs.join(labels, docs["doc_id"] == F.col("_labelled"), "left_semi").select("text", F.col("lang").alias("domain"))
+    labelled = mixing.labelled_rows(docs.select("doc_id", "text", "lang"), table(spark, sf_dir, "labels").select("doc_id")).select("text", F.col("lang").alias("domain"))
     mixed = mixing.mix(docs, labelled, list(LANGUAGES), mixing.weighted_without_loss(list(LANGUAGES.values())), least=1.0)
     return mixing.resampled(docs, written(mixed, work_dir(spark, "mixed")))
 

@@ -1,6 +1,6 @@
 """Mixing to target weights with soft membership, in DataFrame functions alone.
 
-1. A naive Bayes classifier over hashed words learns domains from a labelled table. Its table has BUCKETS rows, so it is
+1. A naive Bayes classifier over hashed words learns domains from a labelled table, at most EXAMPLES rows of it. Its table has BUCKETS rows, so it is
    broadcast. Each text gets posteriors: the likelihoods of its words count as at most EVIDENCE words, which keeps them soft.
 2. Rates r >= 0, one a document, are fitted so that the expected tokens of each domain k, sum of r * tokens * posterior_k,
    meet the targets t_k: projected gradient descent on 1/2 * sum (A_k r - t_k)^2 / t_k from r = 1, each step divided by
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from stepweave.llm.shared import work_dir, written
 
 BUCKETS, EVIDENCE = 8192, 6
+#: Labelled rows to which the classifier is fitted, at most: a documented bound.
+EXAMPLES = 20_000
 STEPS, HELD = 60, 6
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -41,6 +43,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> DataFrame:
+    """Rows of docs with a label row (doc_id, ...), joined to it: a sample of `most` label rows, by hash order of doc_id.
+
+    The sample is broadcast, within its bound, so the texts stay where they are."""
+    picked = labels.where("doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return docs.join(F.broadcast(picked), "doc_id")
+
+
 def learn(labelled: DataFrame, domains: list[str], smooth: float = 1.0) -> tuple[DataFrame, list[float]]:
     """labelled (text, domain) -> (table of bucket, l0 ... with the log-likelihoods, log shares of the domains)."""
     spark = labelled.sparkSession

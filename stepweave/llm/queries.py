@@ -22,7 +22,7 @@ ARRIVALS = 8
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    labelled = docs.select("doc_id", "text", "lang").join(labels, "doc_id").select("text", F.when(F.col("quality") == 0, "low").otherwise(F.col("lang")).alias("domain"))
+    labelled = mixing.labelled_rows(docs.select("doc_id", "text", "lang"), labels).select("text", F.when(F.col("quality") == 0, "low").otherwise(F.col("lang")).alias("domain"))
     return mixing.mix(docs, labelled, list(MIX), mixing.weighted(list(MIX.values())))
 
 
