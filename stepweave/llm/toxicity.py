@@ -2,7 +2,7 @@
 
 Features are lower-cased words and the first five bytes of longer words. The labelled examples are a bounded sample
 (`examples` rows a class, by hash order of doc_id: a documented parameter); of their features those are kept whose presence
-differs between the classes by `least_z` standard errors, `features` at most. Their document frequencies are counted
+differs between the classes by `least_z` standard errors in LEAST_SEEN examples or more, `features` at most. Their document frequencies are counted
 over all documents, labelled or not.
 
 The index holds the examples in blocks of BLOCK, and for each feature the largest weight in each block. For a document, the
@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 from stepweave.llm.shared import text_batches, work_dir, written
 from stepweave.llm.wordhash import Words, binary_parts, words_of
 
-EXAMPLES, FEATURES, LEAST_Z = 3000, 2048, 4.0
+EXAMPLES, FEATURES, LEAST_Z, LEAST_SEEN = 3000, 2048, 6.0, 4
 NEIGHBOURS, BLOCK, TOGETHER = 15, 64, 512
 STEM = 5
 
@@ -175,15 +175,22 @@ class Index:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Slope (at least 0) and offset of the weighted fit, lightly held to 1 and 0, by Newton's method."""
-    a = np.array([1.0, 0.0])
+    """Slope (at least 0) and offset of the weighted fit, lightly held to 1 and 0, by Newton's method with halved steps."""
+    start = np.array([1.0, 0.0])
     design, hold = np.stack([x, np.ones_like(x)], 1), np.array([1e-2, 1e-3]) * w.sum() / max(1, len(w))
-    for _ in range(50):
+
+    def loss(a):
+        z = design @ a
+        return (w * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (hold * (a - start) ** 2).sum()
+
+    a = start
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ a, -35, 35)))
-        gradient = design.T @ (w * (p - y)) + hold * (a - [1.0, 0.0])
-        hessian = (design * (w * p * (1 - p))[:, None]).T @ design + np.diag(hold)
-        step = np.linalg.solve(hessian, gradient)
-        a = a - np.clip(step, -2, 2)
+        gradient = design.T @ (w * (p - y)) + hold * (a - start)
+        step = np.linalg.solve((design * (w * p * (1 - p))[:, None]).T @ design + np.diag(hold), gradient)
+        while loss(a - step) > loss(a) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        a = a - step
         if np.abs(step).max() < 1e-9:
             break
     return max(0.0, float(a[0])), float(a[1])
@@ -250,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: str, examples: int = EXAMPLES
     found = sample.mapInArrow(_example_rows, "example long, toxic int, feature long").groupBy("feature")
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n0, n1 = max(1, sizes.get(0, 0)), max(1, sizes.get(1, 0))
-    found = found.agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where("a + b >= 3")
+    found = found.agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(f"a + b >= {LEAST_SEEN}")
     rate = (F.col("a") + F.col("b") + 1) / (n0 + n1 + 2)
     found = found.withColumn("z", F.abs(F.col("a") / n1 - F.col("b") / n0) / F.sqrt(rate * (1 - rate) * (1 / n0 + 1 / n1)))
     best = found.where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(features).select("feature").collect()
