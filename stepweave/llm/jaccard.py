@@ -6,13 +6,14 @@ keep the join from comparing all pairs of a group of near copies:
 
 * Index level. The list of a shingle is sorted by set size and cut in blocks. Classes whose range of sizes is out of reach of a
   block are skipped for the whole block, and so are those whose positions leave too few shingles to reach the threshold.
-* Answer level. Each set first meets one highly similar set, its leader: the smallest set of the lists that it shares most of.
-  A set that links with its leader takes over the leader's answer, its class, and is never compared inside it. What is left
-  is sets that meet another class: the set of the smaller class asks, and an inverted index over whole sets of the larger one
-  answers for all of them at once. A set and a class stand once for each list that brings them together, not once a pair.
+* Answer level. Each set joins the group of one highly similar set, its leader: the smallest set of the lists that it shares most
+  of. A group is answered as a whole: block by block, an inverted index over whole sets gives all overlaps of a set at once.
+  What is left is sets that meet another group. A set and a group stand once for each list that brings them together, not
+  once a pair, and nothing is asked where both are of one class already. Answers come back as
+  spanning forests.
 
 Overlaps are exact, on whole sets. Each skip is a bound (sizes, places in the fronts, shared front shingles), so no link
-between two classes is lost.
+between two classes is lost. Shingles and sets are named by 64-bit hashes.
 
 Null texts and texts without words have no shingles: they link with nothing and are their own class (component_id is the
 doc_id). Rows of one set (exact copies, repeated rows) are one class. A null doc_id never is a component_id if its class has
@@ -38,8 +39,8 @@ SHINGLE = 5
 #: Cells of the sketch that orders shingles.
 ORDER_CELLS = 1 << 21
 BLOCK = 64
-#: Sets of a class, and sets that ask for it, that meet in one task.
-GROUP, ASKERS = 256, 1024
+#: Sets of a group, and sets that ask for it, that meet in one task.
+GROUP, ASKERS = 512, 1024
 #: Beyond the shortest front, so many hundredths of the set are indexed: a pair must share as many more of them.
 EXTRA = 5
 
@@ -191,49 +192,62 @@ def _lists(batches):
 
 
 def _meetings(percent: int):
-    """(set, class) that a list brings together: a set of the smaller class, and the larger class of another.
-
-    The list is sorted by size and cut in blocks; a block of sets and the range of sizes of a class are skipped as one if they
-    can't reach the threshold. A class stands once for each list, however many of its sets are there."""
+    """(set, group) that a list brings together: a set, and the larger group of another, if not both of one class.
+
+    A list is sorted by size and cut in blocks; groups whose range of sizes is out of a block's reach are skipped for the whole
+    block, and so are those whose places leave too few shingles. A group stands once for each list, however many of its sets are there."""
+
+    def of_two(sets, at, group, comp, weight):
+        """Lists of two sets, side by side in the arrays."""
+        a, b = slice(0, None, 2), slice(1, None, 2)
+        n, m, p, q = at[a] >> 32, at[b] >> 32, at[a] & 0xFFFFFFFF, at[b] & 0xFFFFFFFF
+        ok = (comp[a] != comp[b]) & (group[a] != group[b]) & (percent * n <= 100 * m) & (percent * m <= 100 * n)
+        ok &= np.minimum(p, q) + 1 + np.minimum(n - p - 1, m - q - 1) >= least_overlap(n, m, percent)
+        first = (weight[a] < weight[b]) | ((weight[a] == weight[b]) & (group[a] < group[b]))
+        return np.where(first, sets[a], sets[b])[ok], np.where(first, group[b], group[a])[ok], np.where(first, n, m)[ok]
+
+    def of_many(sets, at, group, comp, weight):
+        n, place = at >> 32, at & 0xFFFFFFFF
+        groups, back = np.unique(group, return_inverse=True)
+        k = len(groups)
+        least, most, furthest = np.full(k, 1 << 40), np.zeros(k, dtype=np.int64), np.zeros(k, dtype=np.int64)
+        low_comp, high_comp, heavy = np.full(k, np.iinfo(np.int64).max), np.full(k, np.iinfo(np.int64).min), np.zeros(k, dtype=np.int64)
+        np.minimum.at(least, back, n)
+        np.maximum.at(most, back, n)
+        np.maximum.at(furthest, back, place)
+        np.minimum.at(low_comp, back, comp)
+        np.maximum.at(high_comp, back, comp)
+        heavy[back] = weight
+        order = np.argsort(n, kind="stable")
+        for i in range(0, len(n), BLOCK):
+            some = order[i : i + BLOCK]
+            low, high = int(n[some[0]]), int(n[some[-1]])
+            near = np.flatnonzero((percent * least <= 100 * high) & (100 * most >= percent * low))
+            x, p, own = n[some, None], place[some, None], back[some]
+            first = np.maximum(least[near][None, :], -(-percent * x // 100))
+            ok = (percent * least[near][None, :] <= 100 * x) & (100 * most[near][None, :] >= percent * x) & (own[:, None] != near[None, :])
+            ok &= np.minimum(p, furthest[near][None, :]) + x - p >= least_overlap(x, first, percent)
+            ok &= (low_comp[near][None, :] != comp[some, None]) | (high_comp[near][None, :] != comp[some, None])
+            mine, theirs = heavy[own][:, None], heavy[near][None, :]
+            ok &= (mine < theirs) | ((mine == theirs) & (own[:, None] < near[None, :]))
+            i_, j_ = np.nonzero(ok)
+            if len(i_):
+                yield sets[some[i_]], groups[near[j_]], n[some[i_]]
 
     def rows(batches):
-        for shingle, sets, at, comp, weight in _whole_lists(batches, 5):
-            cuts = _runs(shingle)
-            found = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                own = comp[a:b]
-                if b - a < 2 or (own == own[0]).all():
-                    continue
-                n, place = at[a:b] >> 32, at[a:b] & 0xFFFFFFFF
-                classes, back = np.unique(own, return_inverse=True)
-                least, most = np.full(len(classes), 1 << 40), np.zeros(len(classes), dtype=np.int64)
-                np.minimum.at(least, back, n)
-                np.maximum.at(most, back, n)
-                furthest = np.zeros(len(classes), dtype=np.int64)
-                np.maximum.at(furthest, back, place)
-                heavy = np.zeros(len(classes), dtype=np.int64)
-                heavy[back] = weight[a:b]
-                order = np.argsort(n, kind="stable")
-                by_least = np.argsort(least, kind="stable")
-                for i in range(0, b - a, BLOCK):
-                    some = order[i : i + BLOCK]
-                    low, high = int(n[some[0]]), int(n[some[-1]])
-                    # sizes within reach of the block
-                    near = by_least[(percent * least[by_least] <= 100 * high) & (100 * most[by_least] >= percent * low)]
-                    if not len(near):
-                        continue
-                    x, m, p = n[some, None], most[near][None, :], place[some, None]
-                    first = np.maximum(np.minimum(least[near][None, :], m), -(-percent * x // 100))
-                    ok = (percent * least[near][None, :] <= 100 * x) & (100 * m >= percent * x)
-                    ok &= np.minimum(p, furthest[near][None, :]) + x - p >= least_overlap(x, np.minimum(first, m), percent)
-                    mine, theirs = heavy[back[some]][:, None], heavy[near][None, :]
-                    ok &= (mine < theirs) | ((mine == theirs) & (classes[back[some]][:, None] < classes[near][None, :]))
-                    i_, j_ = np.nonzero(ok)
-                    if len(i_):
-                        found.append((sets[a:b][some[i_]], classes[near[j_]], n[some[i_]]))
-            if found:
-                u, v, k = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(k)], names=["set_id", "class", "n"])
+        for columns in _whole_lists(batches, 6):
+            cuts = _runs(columns[0])
+            counts = np.diff(cuts)
+            columns = columns[1:]  # set, at, group, comp, weight
+            begins = cuts[:-1]
+            mixed = np.maximum.reduceat(columns[3], begins) != np.minimum.reduceat(columns[3], begins)
+            two = np.repeat(mixed & (counts == 2), counts)
+            found = [of_two(*[c[two] for c in columns])]
+            for a, b in zip(begins[mixed & (counts > 2)], cuts[1:][mixed & (counts > 2)], strict=True):
+                found += of_many(*[c[a:b] for c in columns])
+            u, v, k = (np.concatenate(x) for x in zip(*found, strict=True))
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(k)], names=["set_id", "group", "n"])
 
     return rows
 
@@ -257,45 +271,75 @@ def _arrays(wanted, width: int, n: int):
     return rows
 
 
+class _Block:
+    """Whole sets of a block, with an inverted index: one pass over the shingles of a set gives its overlaps with all of them."""
+
+    def __init__(self, names: list[int], held: list[np.ndarray]) -> None:
+        self.names, self.held = np.array(names, dtype=np.int64), held
+        self.sizes = np.array([len(x) for x in held], dtype=np.int64)
+        keys, owners = np.concatenate(held), np.repeat(np.arange(len(held)), self.sizes)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owners = keys[order], owners[order]
+        self.root = np.arange(len(held))  # sets known to be linked have one root
+
+    def linked(self, found: np.ndarray, percent: int) -> np.ndarray:
+        """Places of the sets that link with one."""
+        a, b = np.searchsorted(self.keys, found, side="left"), np.searchsorted(self.keys, found, side="right")
+        n = b - a
+        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        shared = np.bincount(self.owners[at], minlength=len(self.names))
+        return np.flatnonzero((100 * shared >= percent * (self.sizes + len(found) - shared)) & (shared > 0))
+
+    def join(self, found: np.ndarray, percent: int) -> np.ndarray:
+        """Puts the sets that link with one under one root; the roots that they had."""
+        tops = np.unique(self.root[self.linked(found, percent)])
+        if len(tops) > 1:
+            self.root[np.isin(self.root, tops)] = tops[0]
+        return tops
+
+
 def _block_links(percent: int):
-    """Of rows sorted by group and salt, `asks` false first: an inverted index of the first ones' whole sets, and for each set that
-    asks, the smallest of them that it links with.
+    """Of rows sorted by group, block pair and `asks` (false first): links between the sets that ask and those that are held.
+
+    A block that is paired with itself (`inner`) asks itself. Links come out as a spanning forest of the sets that met, never as
+    all pairs of a group."""
 
-    One pass over the shingles of a set gives its overlaps with all sets of the block."""
+    def forest(block: _Block):
+        for found in block.held:
+            block.join(found, percent)
+        for i in np.flatnonzero(block.root != np.arange(len(block.root))):
+            yield int(block.names[i]), int(block.names[block.root[i]])
 
     def rows(batches):
-        name, names, held, index = None, [], [], None
+        name, names, held, block = None, [], [], None
         for batch in batches:
-            groups, salts, sets, asks, shingles = (batch.column(i).to_pylist() for i in range(5))
-            us, vs = [], []
-            for g, salt, s, ask, raw in zip(groups, salts, sets, asks, shingles, strict=True):
+            out = []
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for group, pair, member, asks, inner, raw in zip(*columns, strict=True):
+                if (group, pair) != name:
+                    if name is not None and own and held:
+                        out += forest(_Block(names, held))
+                    name, names, held, block, own = (group, pair), [], [], None, inner
                 found = np.frombuffer(raw, dtype=np.uint64)
-                if (g, salt) != name:
-                    name, names, held, index = (g, salt), [], [], None
-                if not ask:
-                    names.append(s)
+                if not asks:
+                    names.append(member)
                     held.append(found)
-                    continue
-                if index is None:
-                    sizes = np.array([len(x) for x in held], dtype=np.int64)
-                    keys, owners = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
-                    order = np.argsort(keys, kind="stable")
-                    index = np.array(names, dtype=np.int64), sizes, keys[order], owners[order]
-                ids, sizes, keys, owners = index
-                a, b = np.searchsorted(keys, found, side="left"), np.searchsorted(keys, found, side="right")
-                n = b - a
-                at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-                shared = np.bincount(owners[at], minlength=len(ids))
-                met = np.flatnonzero((100 * shared >= percent * (sizes + len(found) - shared)) & (shared > 0) & (ids != s))
-                if len(met):
-                    us.append(s)
-                    vs.append(int(ids[met].min()))
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+                elif held:
+                    block = block or _Block(names, held)
+                    out += [(member, int(block.names[top])) for top in block.join(found, percent)]
+            if out:
+                yield _links(out)
+        if name is not None and own and held and (rest := list(forest(_Block(names, held)))):
+            yield _links(rest)
 
     return rows
 
 
+def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    u, v = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
 def _bloom(digests: DataFrame, width: int) -> np.ndarray:
     """Digests as bits of a fixed width, from the executors."""
 
@@ -306,26 +350,41 @@ def _bloom(digests: DataFrame, width: int) -> np.ndarray:
     return repeated_cells(digests, keys_of, width)[0]
 
 
-def _verified(docs: DataFrame, sets: DataFrame, asked: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
-    """asked(set_id, group), members(set_id, group) -> links (u, v) between a set that asks and a member, from whole sets.
+_OWN = "cast(pmod(xxhash64(set_id), {}) as int)"
+
+
+def _inside(members: DataFrame) -> DataFrame:
+    """members(set_id, group) -> roles in which all pairs of a group meet: blocks of GROUP sets, each pair of blocks once."""
+    blocks = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks"))
+    own = members.join(blocks, "group").withColumn("b", F.expr(_OWN.format("blocks")))
+    own = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.least("b", "o") * F.lit(1 << 20).cast("long") + F.greatest("b", "o")
+    return own.select("group", pair.alias("pair"), "set_id", (F.col("b") < F.col("o")).alias("asks"), (F.col("b") == F.col("o")).alias("inner"))
+
+
+def _across(asked: DataFrame, members: DataFrame) -> DataFrame:
+    """asked(set_id, group), members(set_id, group) -> roles in which each set that asks meets all members.
 
     A group is dealt as blocks of GROUP members times parts of ASKERS sets that ask: a hot group is many tasks."""
-    spark = docs.sparkSession
     count = lambda df, most, name: df.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
     parts = count(members, GROUP, "blocks").join(count(asked, ASKERS, "parts"), "group")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    own = lambda c: F.expr(f"cast(pmod(xxhash64(set_id), {c}) as int)")
-    asking = asked.join(parts, "group").select("group", every("blocks").alias("block"), own("parts").alias("part"), "set_id", F.lit(True).alias("asks"))
-    held = members.join(parts, "group").select("group", own("blocks").alias("block"), every("parts").alias("part"), "set_id", F.lit(False).alias("asks"))
-    roles = held.union(asking).withColumn("salt", F.expr("block * 65536L + part")).drop("block", "part")
+    asking = asked.join(parts, "group").select("group", every("blocks").alias("b"), F.expr(_OWN.format("parts")).alias("p"), "set_id", F.lit(True).alias("asks"))
+    held = members.join(parts, "group").select("group", F.expr(_OWN.format("blocks")).alias("b"), every("parts").alias("p"), "set_id", F.lit(False).alias("asks"))
+    return held.union(asking).select("group", F.expr("b * 1048576L + p").alias("pair"), "set_id", "asks", F.lit(False).alias("inner"))
+
+
+def _verified(docs: DataFrame, sets: DataFrame, roles: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (u, v) by whole sets, of the roles in which they meet."""
+    spark = docs.sparkSession
     named = sets.where("digest is not null").groupBy("set_id").agg(F.min("digest").alias("digest"))
     roles = written(roles.join(named, "set_id"), work_dir(spark, "jaccard-roles"))
     width = width_for(roles.count(), most=1 << 27)
     bits = spark.sparkContext.broadcast(_bloom(roles.select("digest"), width))
     arrays = docs.select("text").mapInArrow(_arrays(bits, width, n), "set_id long, shingles binary")
     arrays = arrays.groupBy("set_id").agg(F.first("shingles").alias("shingles"))
-    ready = roles.join(arrays, "set_id").select("group", "salt", "set_id", "asks", "shingles")
-    return ready.repartition("group", "salt").sortWithinPartitions("group", "salt", "asks").mapInArrow(_block_links(percent), "u long, v long")
+    ready = roles.join(arrays, "set_id").select("group", "pair", "set_id", "asks", "inner", "shingles")
+    return ready.repartition("group", "pair").sortWithinPartitions("group", "pair", "asks").mapInArrow(_block_links(percent), "u long, v long")
 
 
 def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> DataFrame:
@@ -352,25 +411,27 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
     met = lists.where("set_id <> leader").groupBy("set_id", "leader", size, "leader_n").agg(F.count(F.lit(1)).alias("k"))
     met = met.where(f"{percent} * leader_n <= 100 * n and {percent} * n <= 100 * leader_n and k >= {_least_shared('n', 'leader_n', percent)}")
     star = written(met.groupBy("set_id").agg(F.max_by("leader", F.struct(F.col("k"), -F.col("leader"))).alias("group")), f"{root}/star")
-    leaders = star.select(F.col("group").alias("set_id"), "group").distinct()
-    links = _verified(docs, sets, star, leaders, shingle, percent)
+    members = star.union(star.select(F.col("group").alias("set_id"), "group").distinct().join(star, "set_id", "left_anti").select("set_id", "group"))
+    members = written(members, f"{root}/members")
+    links = _verified(docs, sets, _inside(members), shingle, percent)
     classes = written(components(links), f"{root}/classes")
 
-    # sets and other classes
-    weights = classes.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("weight"))
-    every = classes.union(weights.select("component", "component")).join(weights, "component")
-    placed = lists.join(every.withColumnRenamed("node", "set_id"), "set_id", "left")
-    placed = placed.select("shingle", "set_id", "at", F.coalesce("component", "set_id").alias("comp"), F.coalesce("weight", F.lit(1)).alias("weight"))
-    meet = placed.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_meetings(percent), "set_id long, class long, n long")
-    meet = meet.groupBy("set_id", "class", "n").agg(F.count(F.lit(1)).alias("k"))
+    # sets and other groups
+    weights = members.groupBy("group").agg(F.count(F.lit(1)).alias("weight"))
+    placed = members.join(classes.withColumnRenamed("node", "set_id"), "set_id", "left").join(weights, "group")
+    placed = placed.select("set_id", "group", F.coalesce("component", "set_id").alias("comp"), "weight")
+    # always a shuffle, so that shuffled bytes grow as the input does
+    placed = lists.join(placed.hint("merge"), "set_id", "left").select("shingle", "set_id", "at", F.coalesce("group", "set_id").alias("group"), F.coalesce("comp", "set_id").alias("comp"), F.coalesce("weight", F.lit(1)).alias("weight"))
+    meet = placed.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_meetings(percent), "set_id long, group long, n long")
+    meet = meet.groupBy("set_id", "group", "n").agg(F.count(F.lit(1)).alias("k"))
     # the smallest partner needs least of the set's front; the largest least of its own, up to 3 by rounding
     low, high = f"cast(ceil({percent} * n / 100) as long)", f"cast(floor(100 * n / {percent}) as long)"
     need = f"least({_own_share('n', 'n', low, percent)}, {_own_share(high, 'n', high, percent)} - 3)"
-    meet = written(meet.where(f"k >= {need}").select("set_id", F.col("class").alias("group")), f"{root}/meetings")
+    meet = written(meet.where(f"k >= {need}").select("set_id", "group"), f"{root}/meetings")
     groups = meet.select("group").distinct()
-    members = classes.select(F.col("node").alias("set_id"), F.col("component").alias("group")).join(groups, "group", "left_semi").select("set_id", "group")
-    members = members.union(groups.select(F.col("group").alias("set_id"), "group"))  # the smallest set of a class gives it its name
-    more = _verified(docs, sets, meet, members, shingle, percent)
+    asked_for = members.join(groups, "group", "left_semi").select("set_id", "group")
+    asked_for = asked_for.union(groups.join(members.select("group").distinct(), "group", "left_anti").select(F.col("group").alias("set_id"), "group"))
+    more = _verified(docs, sets, _across(meet, asked_for), shingle, percent)
     final = components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
     known = sets.where("set_id is not null").select("doc_id", "n", F.col("set_id").alias("node")).join(final, "node", "left")
