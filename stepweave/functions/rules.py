@@ -60,10 +60,14 @@ def range_covers(value: Column | str, inner: str) -> Column:
     parts = F.split(col(value), " ")
     found = F.lit(True)
     for i in inner.split():
-        found = found & F.exists(parts, lambda x, i=i: _holds(_corners(x), _corners(F.lit(i))))
+        found = found & F.exists(parts, _outside_of(i))
     return found
 
 
+def _outside_of(inner: str):
+    return lambda x: _holds(_corners(x), _corners(F.lit(inner)))
+
+
 def _holds(outer, inner) -> Column:
     return (outer[0] <= inner[0]) & (outer[1] <= inner[1]) & (outer[2] >= inner[2]) & (outer[3] >= inner[3])
 
