@@ -41,6 +41,8 @@ ORDER_CELLS = 1 << 21
 BLOCK = 64
 #: Sets of a group, and sets that ask for it, that meet in one task.
 GROUP, ASKERS = 512, 1024
+#: How often groups follow their leader's leader: a family of near copies has one group, not one for each leader in it.
+JUMPS = 2
 #: Beyond the shortest front, so many hundredths of the set are indexed: a pair must share as many more of them.
 EXTRA = 5
 
@@ -80,6 +82,19 @@ def _least_shared(n: str, m: str, percent: int) -> str:
     return f"least({_own_share(n, n, m, percent)}, {_own_share(m, n, m, percent)})"
 
 
+def shared_fronts(n, m, percent: int):
+    """Front shingles that sets of n and m share, at least, if they link."""
+    return np.minimum(front(n, percent) - n, front(m, percent) - m) + least_overlap(n, m, percent)
+
+
+def shared_with_range(n, low, high, percent: int):
+    """The same for a set of n and some set of low ... high shingles: the smallest partner needs least of the set's own front, and
+    the largest least of its own front, up to 3 by rounding."""
+    low, high = np.maximum(low, -(-percent * n // 100)), np.minimum(high, 100 * n // percent)
+    some = np.minimum(front(n, percent) - n + least_overlap(n, low, percent), front(high, percent) - high + least_overlap(n, high, percent) - 3)
+    return np.where(low == high, shared_fronts(n, high, percent), some)
+
+
 def _keys(n: int):
     def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         data, offsets = binary_parts(batch.column(1))
@@ -204,7 +219,7 @@ def _meetings(percent: int):
         ok = (comp[a] != comp[b]) & (group[a] != group[b]) & (percent * n <= 100 * m) & (percent * m <= 100 * n)
         ok &= np.minimum(p, q) + 1 + np.minimum(n - p - 1, m - q - 1) >= least_overlap(n, m, percent)
         first = (weight[a] < weight[b]) | ((weight[a] == weight[b]) & (group[a] < group[b]))
-        return np.where(first, sets[a], sets[b])[ok], np.where(first, group[b], group[a])[ok], np.where(first, n, m)[ok]
+        return np.where(first, sets[a], sets[b])[ok], np.where(first, group[b], group[a])[ok], shared_fronts(n, m, percent)[ok]
 
     def of_many(sets, at, group, comp, weight):
         n, place = at >> 32, at & 0xFFFFFFFF
@@ -232,7 +247,7 @@ def _meetings(percent: int):
             ok &= (mine < theirs) | ((mine == theirs) & (own[:, None] < near[None, :]))
             i_, j_ = np.nonzero(ok)
             if len(i_):
-                yield sets[some[i_]], groups[near[j_]], n[some[i_]]
+                yield sets[some[i_]], groups[near[j_]], shared_with_range(n[some[i_]], least[near[j_]], most[near[j_]], percent)
 
     def rows(batches):
         for columns in _whole_lists(batches, 6):
@@ -247,7 +262,7 @@ def _meetings(percent: int):
                 found += of_many(*[c[a:b] for c in columns])
             u, v, k = (np.concatenate(x) for x in zip(*found, strict=True))
             if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(k)], names=["set_id", "group", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(k)], names=["set_id", "group", "need"])
 
     return rows
 
@@ -411,6 +426,10 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
     met = lists.where("set_id <> leader").groupBy("set_id", "leader", size, "leader_n").agg(F.count(F.lit(1)).alias("k"))
     met = met.where(f"{percent} * leader_n <= 100 * n and {percent} * n <= 100 * leader_n and k >= {_least_shared('n', 'leader_n', percent)}")
     star = written(met.groupBy("set_id").agg(F.max_by("leader", F.struct(F.col("k"), -F.col("leader"))).alias("group")), f"{root}/star")
+    for _ in range(JUMPS):  # a leader that has a leader takes its members along
+        up = star.select(F.col("set_id").alias("group"), F.col("group").alias("up"))
+        star = star.join(up, "group", "left").select("set_id", F.coalesce("up", "group").alias("group"))
+    star = written(star, f"{root}/groups")
     members = star.union(star.select(F.col("group").alias("set_id"), "group").distinct().join(star, "set_id", "left_anti").select("set_id", "group"))
     members = written(members, f"{root}/members")
     links = _verified(docs, sets, _inside(members), shingle, percent)
@@ -422,12 +441,9 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
     placed = placed.select("set_id", "group", F.coalesce("component", "set_id").alias("comp"), "weight")
     # always a shuffle, so that shuffled bytes grow as the input does
     placed = lists.join(placed.hint("merge"), "set_id", "left").select("shingle", "set_id", "at", F.coalesce("group", "set_id").alias("group"), F.coalesce("comp", "set_id").alias("comp"), F.coalesce("weight", F.lit(1)).alias("weight"))
-    meet = placed.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_meetings(percent), "set_id long, group long, n long")
-    meet = meet.groupBy("set_id", "group", "n").agg(F.count(F.lit(1)).alias("k"))
-    # the smallest partner needs least of the set's front; the largest least of its own, up to 3 by rounding
-    low, high = f"cast(ceil({percent} * n / 100) as long)", f"cast(floor(100 * n / {percent}) as long)"
-    need = f"least({_own_share('n', 'n', low, percent)}, {_own_share(high, 'n', high, percent)} - 3)"
-    meet = written(meet.where(f"k >= {need}").select("set_id", "group"), f"{root}/meetings")
+    meet = placed.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_meetings(percent), "set_id long, group long, need long")
+    meet = meet.groupBy("set_id", "group").agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("need"))
+    meet = written(meet.where("k >= need").select("set_id", "group"), f"{root}/meetings")
     groups = meet.select("group").distinct()
     asked_for = members.join(groups, "group", "left_semi").select("set_id", "group")
     asked_for = asked_for.union(groups.join(members.select("group").distinct(), "group", "left_anti").select(F.col("group").alias("set_id"), "group"))

@@ -104,6 +104,21 @@ def test_jaccard_equals_brute_force(spark, seed):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, brute.jaccard(rows)))
 
 
+def test_bounds_of_shared_fronts_hold():
+    """Sets that just link share what the bound says, whatever is shared stands last in their order; a range's bound is no larger."""
+    for n in range(1, 140):
+        for m in range(1, 140):
+            need = int(jaccard.least_overlap(n, m, 80))
+            if need > min(n, m):
+                continue
+            bound = int(jaccard.shared_fronts(n, m, 80))
+            # the order that hides most: each set's own shingles first
+            hidden = min(need - max(0, need - (int(jaccard.front(n, 80)) - (n - need))), need - max(0, need - (int(jaccard.front(m, 80)) - (m - need))))
+            assert bound <= hidden
+            for low, high in ((m, m), (max(1, m - 9), m), (m, m + 30), (1, 1000)):
+                assert jaccard.shared_with_range(np.array([n]), np.array([low]), np.array([high]), 80)[0] <= bound
+
+
 def test_jaccard_of_one_large_group(spark, monkeypatch):
     """Blocks smaller than the group, so that all paths between blocks are walked."""
     monkeypatch.setattr(jaccard, "GROUP", 4)
