@@ -68,6 +68,13 @@ def previous_image(image: str, segment: str, keys: list[str], order: list[str])
     return F.coalesce(own, F.when(~F.col(segment), F.last(F.when(F.col(segment), F.col(image)), ignorenulls=True).over(whole(keys, order))))
 
 
+def with_both_images(steps: DataFrame, images: DataFrame, keys: list[str], step: str, image: str) -> DataFrame:
+    """Steps whose own image and the one before both exist, with both. images(keys, step, image)."""
+    after = images.select(*keys, F.col(step), F.col(image).alias("image_after"))
+    before_it = images.select(*keys, (F.col(step) + 1).alias(step), F.col(image).alias("image_before"))
+    return steps.join(after, [*keys, step]).join(before_it, [*keys, step])
+
+
 def fan_out(df: DataFrame, kinds: tuple[str, ...] = ("type1", "type2")) -> DataFrame:
     return df.withColumn("training_type", F.explode(F.array(*[F.lit(k) for k in kinds])))
 

@@ -56,6 +56,12 @@ def test_history_of_a_step_is_a_prefix_of_the_next(spark):
     assert [r.h for r in rows] == ["", "t0", "t0\nt1", "t0\nt1\nt2", "t0\nt1\nt2\nt3"]
 
 
+def test_steps_need_both_images(spark):
+    rows = conversation(spark, ["user"] * 3)
+    images = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "conv_id long, turn long, image string")
+    assert [(r.turn, r.image_before, r.image_after) for r in steps.with_both_images(rows, images, ["conv_id"], "turn", "image").collect()] == [(2, "a", "b")]
+
+
 def test_uniform_sample_floors_its_stride(spark):
     shots = spark.range(99).selectExpr("1 as c", "id")
     assert sorted(r.id for r in steps.uniform_sample(shots, ["c"], ["id"], 50).collect()) == list(range(50))
