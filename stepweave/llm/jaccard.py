@@ -7,7 +7,7 @@ keep the join from comparing all pairs of a group of near copies:
 * Index level. The list of a shingle is sorted by set size and cut in blocks. Classes whose range of sizes is out of reach of a
   block are skipped for the whole block, and so are those whose positions leave too few shingles to reach the threshold.
 * Answer level. Each set joins the group of one highly similar set, its leader: the smallest set of the lists that it shares most
-  of. A group is answered as a whole: block by block, an inverted index over whole sets gives all overlaps of a set at once.
+  of (a leader that has a leader takes its members along). A group is answered as a whole: block by block, an inverted index over whole sets gives all overlaps of a set at once.
   What is left is sets that meet another group. A set and a group stand once for each list that brings them together, not
   once a pair, and nothing is asked where both are of one class already. Answers come back as
   spanning forests.
@@ -41,6 +41,9 @@ ORDER_CELLS = 1 << 21
 BLOCK = 64
 #: Sets of a group, and sets that ask for it, that meet in one task.
 GROUP, ASKERS = 512, 1024
+#: A set joins a leader with which it shares this part of the front shingles that a link needs: groups may hold sets that don't
+#: link, as they are answered as a whole, and so sets just below the threshold are not met one by one.
+LEADERS = 0.25
 #: How often groups follow their leader's leader: a family of near copies has one group, not one for each leader in it.
 JUMPS = 2
 #: Beyond the shortest front, so many hundredths of the set are indexed: a pair must share as many more of them.
@@ -424,7 +427,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
     # each set and its leader, if they share as many indexed shingles as a link needs
     size = F.expr("shiftright(at, 32)").alias("n")
     met = lists.where("set_id <> leader").groupBy("set_id", "leader", size, "leader_n").agg(F.count(F.lit(1)).alias("k"))
-    met = met.where(f"{percent} * leader_n <= 100 * n and {percent} * n <= 100 * leader_n and k >= {_least_shared('n', 'leader_n', percent)}")
+    met = met.where(f"{percent} * leader_n <= 100 * n and {percent} * n <= 100 * leader_n and k >= {LEADERS} * {_least_shared('n', 'leader_n', percent)}")
     star = written(met.groupBy("set_id").agg(F.max_by("leader", F.struct(F.col("k"), -F.col("leader"))).alias("group")), f"{root}/star")
     for _ in range(JUMPS):  # a leader that has a leader takes its members along
         up = star.select(F.col("set_id").alias("group"), F.col("group").alias("up"))
