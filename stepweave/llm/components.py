@@ -24,7 +24,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         hooks = F.transform(F.array_remove(F.col("parents"), least), lambda p: F.struct(p.alias("child"), least.alias("parent"), F.lit(True).alias("new")))
         own = F.array(F.struct(F.col("child"), least.alias("parent"), F.lit(False).alias("new")))
         met = now.groupBy("child").agg(F.collect_set("parent").alias("parents")).select(F.explode(F.concat(own, hooks)).alias("e")).select("e.*")
-        up = met.select(F.col("child").alias("parent"), F.col("parent").alias("up"))
+        up = met.select(F.col("child").alias("at"), F.col("parent").alias("above")).groupBy("at").agg(F.min("above").alias("up")).withColumnRenamed("at", "parent")
         jumped = met.join(up, "parent", "left").select("child", F.coalesce("up", "parent").alias("parent"), (F.col("new") | F.col("up").isNotNull()).alias("new"))
         moved = Observation()
         now = written(jumped.observe(moved, F.count_if("new").alias("n")), f"{root}/{i}")
