@@ -1,7 +1,7 @@
 """A training corpus in five stages, each an operator of stepweave.llm over what the stage before it kept.
 
 1. toxicity: documents that score 0.5 or more are rejected; all others stay.
-2. near_duplicates: of each class of documents linked at Jaccard 0.8 on five-word shingles, the one with the smallest doc_id stays.
+2. near_duplicates: of each class of documents linked at Jaccard 0.8 on five-word shingles, a row with the smallest doc_id stays.
 3. repeated_passages: words in 20-word windows that start earlier in the corpus are cut from their texts. Every document stays.
 4. mixing: languages reach their target shares of all tokens by repeating documents; no rate is below 1, so each one stays.
 5. tokens: byte-level BPE ids of each text, and digests of the ids and of the decoded bytes.
@@ -29,16 +29,18 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated rows are one class too, so one of them stays. Texts without words link with nothing and all stay."""
-    classes = jaccard.jaccard_classes(docs)
-    keep = classes.where("n_shingles > 0").groupBy("component_id").agg(F.count(F.lit(1)).alias("n"))
-    keep = keep.select(F.col("component_id").alias("_keep"))
+    """Repeated rows are one class too, so one of them stays. Texts without words link with nothing and all stay.
+
+    Rows are found by doc_id and text: different texts may share a doc_id, or have none, and each class keeps a row of its own."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     numbered = docs.withColumn("_words", F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) > 0)
-    named = numbered.where("_words").join(keep, numbered["doc_id"].cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    # rows that share a doc_id: the smallest text of them; classes are of one size on average, so no key is hot
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.monotonically_increasing_id())
-    first = named.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return first.union(numbered.where("not _words").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    row = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_without")]
+    keep = jaccard.one_of_each_class(docs).select(*row, F.col("text_id").alias("_text"))
+    named = numbered.where("_words").select(*columns, *row, jaccard.text_id("text").alias("_text")).join(keep, ["_id", "_without", "_text"], "left_semi")
+    # rows that share both are repeated rows: one of them
+    order = Window.partitionBy("_id", "_without", "_text").orderBy(F.monotonically_increasing_id())
+    first = named.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(*columns)
+    return first.union(numbered.where("not _words").select(*columns))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.llm.components import components
@@ -107,7 +107,7 @@ def _keys(n: int):
     return keys_of
 
 
-_SETS = "doc_id long, n int, set_id long, digest long, front binary"
+_SETS = "doc_id long, text_id long, n int, set_id long, digest long, front binary"
 
 
 def name_of(shingles: np.ndarray) -> int | None:
@@ -136,8 +136,8 @@ def _sets(order, n: int, percent: int):
                 rank = (level[cells_of(found, 0, ORDER_CELLS)].astype(np.uint64) << np.uint64(56)) | (found >> np.uint64(8))
                 fronts.append(found[np.argsort(rank, kind="stable")[: front(len(found), percent)]].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), pa.array(digests, pa.int64()), pa.array(fronts, pa.binary())],
-                names=["doc_id", "n", "set_id", "digest", "front"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), pa.array(digests, pa.int64()), pa.array(fronts, pa.binary())],
+                names=["doc_id", "text_id", "n", "set_id", "digest", "front"],
             )
 
     return rows
@@ -405,16 +405,36 @@ def _verified(docs: DataFrame, sets: DataFrame, roles: DataFrame, n: int, percen
     return ready.repartition("group", "pair").sortWithinPartitions("group", "pair", "asks").mapInArrow(_block_links(percent), "u long, v long")
 
 
+def text_id(text: str) -> Column:
+    """A text's 64-bit hash, by which classes name it."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_shingles, component_id), a row for each of docs.
 
     component_id: the smallest doc_id that links reach."""
+    known, alone = _classes(docs, shingle, percent)
+    smallest = known.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    return known.join(smallest, "class").select("doc_id", "n_shingles", "component_id").union(alone)
+
+
+def one_of_each_class(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, text_id), a row for each class of texts with words: the smallest doc_id (null after all others),
+    and the smallest text_id among its rows of the class. Several classes may have one doc_id, or null."""
+    known, _ = _classes(docs, shingle, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_id"))
+    return known.groupBy("class").agg(first.alias("first")).select("first.doc_id", "first.text_id")
+
+
+def _classes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_id, n_shingles, class) of the rows with words, and the rows of jaccard_classes of those without."""
     spark = docs.sparkSession
     text_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     root = work_dir(spark, "jaccard")
     order = spark.sparkContext.broadcast(levels(docs, _keys(shingle), ORDER_CELLS))
-    sets = written(docs.mapInArrow(_sets(order, shingle, percent), _SETS), f"{root}/sets")
+    sets = written(docs.withColumn("text_id", text_id("text")).mapInArrow(_sets(order, shingle, percent), _SETS), f"{root}/sets")
 
     fronts = sets.where("front is not null")
     indexed = fronts.agg(F.sum(F.octet_length("front")).alias("n")).first().n or 0
@@ -453,8 +473,6 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
     more = _verified(docs, sets, _across(meet, asked_for), shingle, percent)
     final = components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
-    known = sets.where("set_id is not null").select("doc_id", "n", F.col("set_id").alias("node")).join(final, "node", "left")
-    known = known.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "node").alias("class"))
-    smallest = known.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    alone = sets.where("set_id is null").select("doc_id", F.lit(0).cast("long"), "doc_id")
-    return known.join(smallest, "class").select("doc_id", "n_shingles", "component_id").union(alone)
+    known = sets.where("set_id is not null").select("doc_id", "text_id", "n", F.col("set_id").alias("node")).join(final, "node", "left")
+    known = known.select("doc_id", "text_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "node").alias("class"))
+    return known, sets.where("set_id is null").select("doc_id", F.lit(0).cast("long"), "doc_id")

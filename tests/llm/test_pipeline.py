@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
-from tests.llm.test_ops import DOCS, frame, near_copies, toxic_docs
+from tests.llm.test_ops import DOCS, frame, near_copies, prose, toxic_docs
 
 
 @pytest.fixture
@@ -39,6 +39,16 @@ def test_one_of_each_class_stays(spark, tables):
     assert len(worded) == len({r.doc_id for r in worded})
 
 
+def test_classes_that_share_a_doc_id_keep_a_row_each(spark):
+    texts = [" ".join(prose(i, 40, 5000)) for i in range(8)]
+    near = texts[0].rsplit(" ", 1)[0] + " other"
+    rows = [(3, texts[0]), (5, near), (5, texts[1]), (5, texts[2]), (0, texts[3]), (0, texts[7]), *[(None, t) for t in texts[3:7]], (None, texts[4]), (None, None), (None, "")]
+    docs = frame(spark, rows).repartition(3)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_near_duplicates(spark, docs, "").collect()]
+    want = [(3, texts[0]), (5, texts[1]), (5, texts[2]), (0, texts[3]), (0, texts[7]), *[(None, t) for t in texts[4:7]], (None, None), (None, "")]
+    assert sorted(map(str, kept)) == sorted(map(str, want))
+
+
 def test_passages_are_cut_and_no_document_goes(spark, tables):
     path, docs, _ = tables
     cut = corpus_pipeline.cut_passages(spark, docs, path)
