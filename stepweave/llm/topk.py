@@ -3,11 +3,11 @@
 Queries are taken in blocks of bounded size, each broadcast to the partitions of the candidates; candidates are never
 shuffled. Inside a partition the vectors stand in vertical layout, and scores accumulate dimension block by dimension block.
 After each block a candidate's score is at most what it has plus |rest of query| * |rest of candidate| (Cauchy-Schwarz);
-candidates below the query's k-th best so far leave, and the rest move together. Components are integers, sums are exact in
+candidates below the query's k-th best id so far leave, and the rest move together. Components are integers, sums are exact in
 double precision (below 2^53), and the bound is widened by a relative 1e-9, so no candidate is lost to rounding.
 
-Vectors that are null, of another length than most, or hold null or non-finite components take no part. Rows repeated with
-the same id count once. A query never meets its own id. Equal scores go to the smaller id. An empty table gives none.
+Vectors that are null, of another length than most, or hold null or non-finite components take no part. Rows of
+one id count once, by their best vector: however many they are, they hold one place of the k. A query never meets its own id. Equal scores go to the smaller id. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -62,8 +62,18 @@ class _Best:
         self.ids[q, : len(order)], self.scores[q, : len(order)] = ids[order], scores[order]
 
 
+def _kth(values: np.ndarray, ids: np.ndarray, k: int) -> float:
+    """The k-th best of ids, each by its best value; -inf if they are fewer. ids: sorted, or all different."""
+    if (ids[1:] == ids[:-1]).any():
+        values = np.maximum.reduceat(values, np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1]))
+    return np.partition(values, len(values) - k)[len(values) - k] if len(values) >= k else -np.inf
+
+
 def search_block(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, best: _Best) -> None:
     """Adds the candidates (ids, vectors) that belong to the k best of some query."""
+    if len(np.unique(ids)) < len(ids):  # rows of one id side by side
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
     columns = np.ascontiguousarray(vectors.T)  # vertical: a row a dimension
     tails, own_tails = _tails(vectors), _tails(queries)
     dims = columns.shape[0]
@@ -77,9 +87,10 @@ def search_block(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vector
             if not np.isfinite(least):
                 if len(alive) <= best.k:
                     continue
-                # a floor of its own: the k-th best of what every candidate reaches at least
-                floor = score - own_tails[b, q] * tails[b, alive]
-                low = np.partition(floor, len(floor) - best.k)[len(floor) - best.k]
+                # a floor of its own: the k-th best of what every id reaches at least
+                low = _kth(score - own_tails[b, q] * tails[b, alive], ids[alive], best.k)
+                if not np.isfinite(low):
+                    continue
             else:
                 low = least
             reach = score + own_tails[b, q] * tails[b, alive]
@@ -90,7 +101,7 @@ def search_block(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vector
                 break
         if len(alive):
             if len(alive) > 4 * best.k:
-                cut = np.partition(score, len(score) - best.k)[len(score) - best.k]
+                cut = _kth(score, ids[alive], best.k)
                 alive, score = alive[score >= cut], score[score >= cut]
             best.add(q, ids[alive], score)
 

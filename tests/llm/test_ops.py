@@ -187,6 +187,20 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.union(df), "id % 50 = 0").count() == len(brute.top_k(rows))
 
 
+def test_an_id_with_many_vectors_holds_one_place(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rnd.normal(size=20)]) for i in range(60)]
+    hot = [(7, [float(x) * (3 + j / 10) for x in rows[0][1]]) for j in range(40)] + [(8, [float(x) * (2 + j / 10) for x in rows[50][1]]) for j in range(40)]
+    df = spark.createDataFrame(rows + hot, "vec_id long, embedding array<double>").repartition(1)
+    got = sorted(map(tuple, topk.top_k(df, "id % 50 = 0").collect()))
+    ints = [(i, np.floor(256 * np.array(v))) for i, v in rows + hot]
+    want = []
+    for q in (0, 50):
+        best = {i: max(int(ints[q][1] @ v) for j, v in ints if j == i) for i, _ in ints if i != q}
+        want += [(q, r, i, s) for r, (i, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5], 1)]
+    assert got == want
+
+
 def test_pruning_drops_candidates_and_no_answer():
     """With clear winners the bound leaves few candidates to finish."""
     rnd = np.random.default_rng(0)
