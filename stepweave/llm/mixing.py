@@ -3,9 +3,11 @@
 1. A naive Bayes classifier over hashed words learns domains from a labelled table, at most EXAMPLES rows of it. Its table has BUCKETS rows, so it is
    broadcast. Each text gets posteriors: the likelihoods of its words count as at most EVIDENCE words, which keeps them soft.
 2. Rates r >= 0, one a document, are fitted so that the expected tokens of each domain k, sum of r * tokens * posterior_k,
-   meet the targets t_k: projected gradient descent on 1/2 * sum (A_k r - t_k)^2 / t_k from r = 1, each step divided by
-   the document's tokens (a diagonal metric, under which the projection to [least, most] is exact). A step reads the slim
-   table (no text) and brings one number a domain to the driver.
+   meet the targets t_k: projected gradient descent on 1/2 * sum (A_k r - t_k)^2 / t_k, from the rates s that would meet the targets
+   if each domain were alone (posteriors times wanted over present tokens). Each step is multiplied by s / tokens (a diagonal metric,
+   under which the projection to r >= least is exact) and carries momentum, dropped when the loss rises. A step reads the slim
+   table (no text) and brings one number a domain to the driver. Rates have no upper bound. Steps go on until each domain is
+   within CLOSE of its target, or until the loss no longer falls: then the targets can't be met, and `off` says by how much.
 3. Copies are the rate's whole part and one more with the chance of its rest, by a hash of the document.
 
 Null texts count as empty: they have no tokens, the posteriors of the class shares, and a rate like others. Repeated rows (same
@@ -15,6 +17,7 @@ is equal. An empty table gives an empty one.
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +28,8 @@ from stepweave.llm.shared import work_dir, written
 BUCKETS, EVIDENCE = 8192, 6
 #: Labelled rows to which the classifier is fitted, at most: a documented bound.
 EXAMPLES = 20_000
-STEPS, HELD = 60, 6
+#: Rates are written every HELD steps. The fit ends when no domain is off by more than CLOSE, or a window of SETTLED steps cuts the loss by less than 1 %.
+HELD, CLOSE, SETTLED = 6, 1e-3, 40
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -84,30 +88,49 @@ def posteriors(docs: DataFrame, table: DataFrame, prior: list[float], evidence:
     return summed.select("doc_id", "digest", "n_rows", "n_tokens", *[(F.col(f"e{i}") / whole).alias(f"p{i}") for i in k])
 
 
-def fit_rates(members: DataFrame, n_domains: int, targets, least: float = 0.0, most: float = 8.0, steps: int = STEPS, close: float = 1e-3) -> DataFrame:
-    """members with p0 ..., n_rows, n_tokens -> the same with `rate`. targets: from present totals to wanted ones."""
+def fit_rates(members: DataFrame, n_domains: int, targets, least: float = 0.0, close: float = CLOSE) -> tuple[DataFrame, list[float]]:
+    """members with p0 ..., n_rows, n_tokens -> the same with `rate`, and by what share of its target each domain is off.
+
+    targets: from present totals to wanted ones."""
     k = range(n_domains)
     root = work_dir(members.sparkSession, "mixing-rates")
-    now = written(members.withColumn("rate", F.lit(1.0)), f"{root}/0")
     tokens = F.col("n_rows") * F.col("n_tokens")
-    first = now.agg(*[F.sum(tokens * F.col(f"p{i}")).alias(f"t{i}") for i in k], *[F.sum(tokens * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}_{j}") for i in k for j in k]).first()
-    wanted = targets([first[f"t{i}"] or 0.0 for i in k])
+    members = written(members, f"{root}/members")
+    present = members.agg(*[F.sum(tokens * F.col(f"p{i}")).alias(f"t{i}") for i in k]).first()
+    totals = [present[f"t{i}"] or 0.0 for i in k]
+    wanted = targets(totals)
     if not any(wanted):
-        return now
+        return members.withColumn("rate", F.lit(1.0)), [0.0] * n_domains
+    pace = sum((F.col(f"p{i}") * F.lit(wanted[i] / totals[i] if totals[i] > 0 else 1.0) for i in k), F.lit(0.0))
+    start = F.greatest(F.lit(least), F.col("pace"))
+    now = written(members.withColumn("pace", pace).withColumn("rate", start).withColumn("before", start), f"{root}/0")
     scale = [math.sqrt(max(t, 1e-9)) for t in wanted]
+    first = now.agg(*[F.sum(F.col("pace") * tokens * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}_{j}") for i in k for j in k]).first()
     curve = [[(first[f"m{i}_{j}"] or 0.0) / (scale[i] * scale[j]) for j in k] for i in k]
     # no eigenvalue is above the largest row sum
     step = 1.0 / max(1e-12, *[sum(abs(x) for x in row) for row in curve])
-    for i in range(1, steps + 1):
-        have = now.agg(*[F.sum(F.col("rate") * tokens * F.col(f"p{d}")).alias(f"a{d}") for d in k]).first()
-        off = [((have[f"a{d}"] or 0.0) - wanted[d]) / max(wanted[d], 1e-9) for d in k]
-        if max(abs(x) for x in off) < close:
+    have_before, age, losses, i = None, 0, [], 0
+    while True:
+        sums = now.agg(*[F.sum(F.col("rate") * tokens * F.col(f"p{d}")).alias(f"a{d}") for d in k]).first()
+        have = [sums[f"a{d}"] or 0.0 for d in k]
+        off = [(have[d] - wanted[d]) / max(wanted[d], 1e-9) for d in k]
+        losses.append(sum(x * x * w for x, w in zip(off, wanted, strict=True)))
+        if max(abs(x) for x in off) < close or (i >= SETTLED and min(losses[-SETTLED:]) > 0.99 * min(losses[:-SETTLED])):
             break
-        slope = sum((F.col(f"p{d}") * F.lit(step * off[d]) for d in k), F.lit(0.0))
-        now = now.withColumn("rate", F.greatest(F.lit(least), F.least(F.lit(most), F.col("rate") - slope)))
+        age = 0 if have_before is None or losses[-1] > losses[-2] else age + 1
+        push = age / (age + 3)
+        ahead = F.col("rate") + F.lit(push) * (F.col("rate") - F.col("before"))
+        off_ahead = [off[d] + push * (have[d] - have_before[d]) / max(wanted[d], 1e-9) if push else off[d] for d in k]
+        slope = sum((F.col(f"p{d}") * F.lit(step * off_ahead[d]) for d in k), F.lit(0.0))
+        # one select, so that both columns come from the step before
+        moved = F.greatest(F.lit(least), ahead - F.col("pace") * slope)
+        now = now.select(*[c for c in now.columns if c not in ("rate", "before")], moved.alias("rate"), F.col("rate").alias("before"))
+        have_before, i = have, i + 1
         if i % HELD == 0:
             now = written(now, f"{root}/{i}")
-    return now
+    if max(abs(x) for x in off) >= close:
+        logging.getLogger(__name__).warning("targets can't be met: domains are off by %s of them", ", ".join(f"{x:.4f}" for x in off))
+    return now.drop("pace", "before"), off
 
 
 def weighted(weights: list[float]):
@@ -132,12 +155,15 @@ def copies(rate: Column, *key: Column) -> Column:
     return (F.floor(rate) + (rest < rate - F.floor(rate)).cast("int")).cast("int")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, domains: list[str], targets, least: float = 0.0, most: float = 8.0) -> DataFrame:
-    """(doc_id, digest, n_rows, n_tokens, p_<domain> ..., rate, copies): a row for each document."""
+def mix(docs: DataFrame, labelled: DataFrame, domains: list[str], targets, least: float = 0.0) -> DataFrame:
+    """(doc_id, digest, n_rows, n_tokens, p_<domain> ..., rate, copies, off): a row for each document.
+
+    off, alike in all rows: for each domain, (expected tokens - target) / target as the fit left it."""
     table, prior = learn(labelled, domains)
-    members = fit_rates(posteriors(docs, table, prior), len(domains), targets, least, most)
+    members, off = fit_rates(posteriors(docs, table, prior), len(domains), targets, least)
     named = [F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)]
-    return members.select("doc_id", "digest", "n_rows", "n_tokens", *named, "rate", copies(F.col("rate"), F.col("doc_id"), F.col("digest")).alias("copies"))
+    left = F.struct(*[F.lit(float(x)).alias(d) for d, x in zip(domains, off, strict=True)]).alias("off")
+    return members.select("doc_id", "digest", "n_rows", "n_tokens", *named, "rate", copies(F.col("rate"), F.col("doc_id"), F.col("digest")).alias("copies"), left)
 
 
 def resampled(docs: DataFrame, mixed: DataFrame) -> DataFrame:

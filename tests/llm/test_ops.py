@@ -344,6 +344,25 @@ def test_mixing_meets_its_targets(spark):
     assert len(mixed) == 102
 
 
+def test_mixing_of_a_rare_domain_meets_its_target(spark):
+    """A domain of about 1 % of the tokens that should have half of them: rates far above 8."""
+    rows = mixing_rows(spark)
+    docs = rows.where("domain = 'a'").withColumn("doc_id", F.col("doc_id") * 100)
+    docs = docs.union(docs.selectExpr("doc_id + 1", "text", "domain")).union(rows.where("doc_id in (100, 101)"))
+    mixed = mixing.mix(docs, rows, ["a", "b"], mixing.weighted([0.5, 0.5])).collect()
+    total = sum(r.n_rows * r.n_tokens for r in mixed)
+    for p in ("p_a", "p_b"):
+        assert sum(r.rate * r.n_rows * r.n_tokens * r[p] for r in mixed) == pytest.approx(total / 2, rel=2e-3)
+    assert max(r.rate for r in mixed) > 8 and all(abs(x) < 2e-3 for x in mixed[0].off)
+
+
+def test_mixing_says_how_far_off_it_is(spark):
+    """No rate below 1 keeps the total, so the common domain can't shrink."""
+    rows = mixing_rows(spark)
+    off = mixing.mix(rows, rows, ["a", "b"], mixing.weighted([0.1, 0.9]), least=1.0).first().off
+    assert off.a > 1 and max(map(abs, off)) > 1
+
+
 def test_mixing_without_loss_drops_nothing(spark):
     rows = mixing_rows(spark)
     mixed = mixing.mix(rows, rows, ["a", "b"], mixing.weighted_without_loss([0.5, 0.5]), least=1.0)
