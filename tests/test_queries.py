@@ -50,3 +50,14 @@ def test_the_entry_point():
 def test_rules_reach_the_scan(spark, db):
     plan = QUERIES["rule_pushdown"].run(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_returnflag)" in plan and "l_comment" not in plan
+
+
+def test_diff_ratio_reads_whole_texts(spark, tmp_path):
+    import difflib
+
+    head = "".join(chr(0x4E00 + i) for i in range(450))
+    texts = [(1, head + "tail one", head + "quite another end"), (2, head[:400] + "x" * 900, head[:400]), (3, "same " * 300, "same " * 300), (4, "a", "b")]
+    spark.createDataFrame([(i, a) for i, a, _ in texts], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, b) for i, _, b in texts], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.item_id: r.chars for r in QUERIES["diff_ratio"].run(spark, str(tmp_path)).collect()}
+    assert got == {i: difflib.SequenceMatcher(None, a, b).ratio() for i, a, b in texts}
