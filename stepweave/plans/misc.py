@@ -220,6 +220,13 @@ def knn_threshold(spark, sf_dir):
     return retrieval.within(base.orderBy("vec_id").limit(10), base, "vec_id", "embedding", 0.7).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
+@register("knn_threshold_all")
+def knn_threshold_all(spark, sf_dir):
+    """knn_threshold with every vector as a query, in blocks against all rows. It has no SQL twin: tests hold it against brute force."""
+    base = table(spark, sf_dir, "embeddings")
+    return retrieval.within(base, base, "vec_id", "embedding", 0.7).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
 @register("vector_norms", "select vec_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) as norm, round(list_dot_product(embedding::double[], list_reverse(embedding)::double[]), 6) as mirrored from embeddings")
 def vector_norms(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(norm("embedding"), 6).alias("norm"), F.round(inner_product("embedding", F.reverse("embedding")), 6).alias("mirrored"))

@@ -61,3 +61,18 @@ def test_diff_ratio_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame([(i, b) for i, _, b in texts], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.item_id: r.chars for r in QUERIES["diff_ratio"].run(spark, str(tmp_path)).collect()}
     assert got == {i: difflib.SequenceMatcher(None, a, b).ratio() for i, a, b in texts}
+
+
+def test_threshold_pairs_of_all_vectors(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from stepweave.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 16)
+    x = np.random.default_rng(3).normal(size=(60, 6))
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.query_id, r.vec_id): r.score for r in QUERIES["knn_threshold_all"].run(spark, str(tmp_path)).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosines = unit @ unit.T
+    want = {(i, j): cosines[i, j] for i in range(60) for j in range(60) if i != j and 1 - cosines[i, j] < 0.7}
+    assert got == pytest.approx(want, abs=1e-6) and max(i for i, _ in got) > 10
