@@ -19,6 +19,8 @@ DEPTH = 2
 #: Cells of a slice; a slice is merged in one task.
 SLICE = 1 << 18
 _SEEDS = (np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3))
+#: Cells in each row of the bits that mark very frequent keys: more of them fold into these.
+HOT_WIDTH = 1 << 22
 _PARTIAL = "slice int, cells binary, counts binary"
 
 
@@ -36,7 +38,7 @@ def cells_of(keys: np.ndarray, row: int, width: int) -> np.ndarray:
 class _Partial:
     """Counts of a task, up to 255 a cell."""
 
-    def __init__(self, width: int, depth: int, gather: int = 1 << 21) -> None:
+    def __init__(self, width: int, depth: int, gather: int = 1 << 20) -> None:
         self.width, self.depth, self.gather = width, depth, gather
         self.held: list[np.ndarray] = []
         self.n = 0
@@ -102,17 +104,19 @@ def _merged(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarr
 
 
 def repeated_cells(df: DataFrame, keys_of, width: int, hot: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits a cell, packed, DEPTH rows one after another: counted twice or more; counted hot times or more."""
+    """Bits of cells, packed, DEPTH rows one after another: counted twice or more; counted hot times or more, of min(width, HOT_WIDTH) cells a row."""
 
     def finish(counts: np.ndarray) -> bytes:
         return np.packbits(counts >= 2).tobytes() + np.packbits(counts >= hot).tobytes()
 
-    size = min(SLICE, width) // 8
-    found = np.zeros((2, DEPTH * width // 8), dtype=np.uint8)
+    size, per_row, hot_per_row = min(SLICE, width) // 8, max(1, width // SLICE), max(1, min(width, HOT_WIDTH) // SLICE)
+    found, often = np.zeros(DEPTH * width // 8, dtype=np.uint8), np.zeros(DEPTH * min(width, HOT_WIDTH) // 8, dtype=np.uint8)
     for part, cells in _merged(df, keys_of, width, DEPTH, "slice int, cells binary", finish).collect():
         both = np.frombuffer(bytes(cells), dtype=np.uint8)
-        found[0, part * size : (part + 1) * size], found[1, part * size : (part + 1) * size] = both[:size], both[size:]
-    return found[0], found[1]
+        found[part * size : (part + 1) * size] = both[:size]
+        at = (part // per_row) * hot_per_row + part % per_row % hot_per_row
+        often[at * size : (at + 1) * size] |= both[size:]
+    return found, often
 
 
 def levels(df: DataFrame, keys_of, width: int = 1 << 21) -> np.ndarray:

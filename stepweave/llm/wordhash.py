@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes of text handled at once; a longer document is handled alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 LONG = 256
 
 _BASE = 0x9E3779B97F4A7C15 | 5
