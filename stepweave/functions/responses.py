@@ -51,11 +51,26 @@ def tool_code(call: dict, screen: tuple[int, int] | None = None, seen: tuple[int
     return {"type": lambda: f"pyautogui.typewrite({args.get('text', '')!r})", "scroll": lambda: f"pyautogui.scroll({args.get('pixels', 0)})", "wait": lambda: "WAIT", "terminate": lambda: "DONE"}.get(kind, lambda: None)()
 
 
-def parse_tool_response(response: str | None, screen: tuple[int, int] | None = None, seen: tuple[int, int] | None = None) -> tuple[str, list[str]]:
-    """(instruction, code lines): the first `Action:` line, else the kind of the first call."""
-    text = response or ""
-    codes = [c for c in (tool_code(o, screen, seen) for o in _objects(text)) if c]
-    told = re.search(r"^[ \t]*action:[ \t]*(.*?)[ \t]*$", text, re.I | re.M)
+def drag_codes(call: dict, screen: tuple[int, int] | None, seen: tuple[int, int] | None) -> list[str]:
+    """A drag that may say where it starts: a move there, and the drag to its end (to the start, if it names no end)."""
+    args = call["arguments"]
+    is_point = lambda p: isinstance(p, list | tuple) and len(p) == 2
+    start, end = args.get("start_coordinate"), args.get("coordinate", args.get("start_coordinate"))
+    moves = [tool_code({**call, "arguments": {"action": "mouse_move", "coordinate": start}}, screen, seen)] if is_point(start) else []
+    drag = {k: v for k, v in args.items() if k != "coordinate"} | ({"coordinate": end} if is_point(end) else {})
+    return [*moves, tool_code({**call, "arguments": drag}, screen, seen)]
+
+
+def parse_tool_response(response: str | None, screen: tuple[int, int] | None = None, seen: tuple[int, int] | None = None, tuned: bool = False) -> tuple[str, list[str]]:
+    """(instruction, code lines): the first `Action:` line, else the kind of the first call.
+
+    tuned: a `Reasoning:` line is an instruction too, and drags are those of drag_codes."""
+    text, codes = response or "", []
+    for call in _objects(text):
+        args = call.get("arguments")
+        drags = tuned and call.get("name") == "computer_use" and isinstance(args, dict) and args.get("action") == "left_click_drag"
+        codes += [c for c in (drag_codes(call, screen, seen) if drags else [tool_code(call, screen, seen)]) if c]
+    told = re.search(rf"^[ \t]*(?:action{'|reasoning' if tuned else ''}):[ \t]*(.*?)[ \t]*$", text, re.I | re.M)
     if told and told[1]:
         return told[1], codes
     return (f"Performing {re.sub(r'^pyautogui.|[(].*', '', codes[0], flags=re.S)} action" if codes else ""), codes
@@ -142,6 +157,11 @@ def tool_response(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_tool_response(t) for t in text], columns=["instruction", "codes"])
 
 
+@F.pandas_udf(_RESPONSE)
+def tuned_response(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([parse_tool_response(t, tuned=True) for t in text], columns=["instruction", "codes"])
+
+
 @F.pandas_udf(_THOUGHT)
 def thought_actions(text: pd.Series) -> pd.Series:
     return text.map(parse_thought)

@@ -128,6 +128,17 @@ def cost_sign(c: Column | str) -> Column:
     return F.coalesce(filled(F.regexp_extract(col(c), r"[0-9.]+([￥$€£¥]+)", 1)), F.lit("￥"))
 
 
+# Signs that a cost may hold, in the order in which they are looked for.
+COST_SIGNS = ["$", "￥", "¥", "€", "£"]
+
+
+def added_cost(a: Column | str, b: Column | str) -> Column:
+    """The sum of two cost texts, to six digits, with the first one's sign. A text without a sign counts in the first of COST_SIGNS."""
+    sign = lambda c: F.coalesce(*[F.when(F.contains(col(c), F.lit(s)), F.lit(s)) for s in COST_SIGNS], F.lit(COST_SIGNS[0]))
+    value = lambda c: F.coalesce(F.trim(F.translate(col(c), "".join(COST_SIGNS), "")).try_cast("double"), F.lit(0.0))
+    return F.concat(F.format_string("%.6f", value(a) + value(b)), sign(a))
+
+
 def common_cost(c: Column | str) -> Column:
     rates = F.create_map(*[F.lit(x) for pair in RATES.items() for x in pair])
     return cost_value(c) * F.coalesce(F.try_element_at(rates, cost_sign(c)), F.lit(1.0))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from urllib.parse import urlsplit
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from stepweave.functions.text import col, filled
 
@@ -86,3 +91,17 @@ def matches_all(c: Column | str, patterns: list[str]) -> Column:
     for pattern in patterns:
         found = found & col(c).rlike(pattern)
     return F.coalesce(found, F.lit(False))
+
+
+@F.pandas_udf(StringType())
+def file_name(url: pd.Series) -> pd.Series:
+    """host_base_hash: as much of the hash as fits, eight digits at most, in a name of 255."""
+
+    def one(u):
+        if u is None:
+            return None
+        host, base = urlsplit(u).netloc, u.rsplit("/", 1)[-1]
+        room = 254 - len(host) - len(base)
+        return f"{host}_{base}_{hashlib.blake2b(u.encode()).hexdigest()[: min(8, room)]}"
+
+    return url.map(one)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stepweave.functions import rules as R
 from stepweave.functions import text as T
 from stepweave.functions.urls import equal_urls
+from stepweave.operators.sheets import numbered
 
 #: Name -> check. A Column check takes columns; a table check takes DataFrames and gives one row with `score`.
 REGISTRY: dict[str, Callable] = {}
@@ -81,12 +82,15 @@ def ordered_texts_equal(a: DataFrame, b: DataFrame, order: str, text: str, ignor
     def own(df):
         t = F.lower(text) if ignore_case else F.col(text)
         t = T.stripped(F.regexp_replace(t, T.BLANKS, " ")) if ignore_blanks else t
-        rows = df.select(F.struct(F.col(order).alias("o"), t.alias("t")).alias("s"))
-        rows = rows.where(F.trim("s.t") != "") if drop_empty else rows
-        texts = F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"])
-        return rows.agg((F.array(F.array_join(texts, " ")) if collapse else texts).alias("texts"))
-
-    return own(a).crossJoin(own(b).withColumnRenamed("texts", "other")).select(score(F.col("texts") == F.col("other")).alias("score"))  # one row each
+        rows = df.select(F.col(order).alias("o"), t.alias("t"))
+        rows = rows.where(F.trim("t") != "") if drop_empty else rows
+        if collapse:  # one text is compared, so one text is made
+            texts = F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda s: s["t"])
+            return rows.agg(F.array_join(texts, " ").alias("t")).select(F.lit(0).alias("k"), "t")
+        return numbered(rows, "o", "k").select("k", "t")
+
+    both = own(a).withColumn("a", F.lit(1)).join(own(b).select("k", F.col("t").alias("other"), F.lit(1).alias("b")), "k", "full")
+    return one(both, F.coalesce(F.bool_and(F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("t").eqNullSafe(F.col("other"))), F.lit(True)))
 
 
 @check

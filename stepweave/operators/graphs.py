@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepweave.sources.places import shared_root, work_dir
+
 
 def in_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"))
@@ -23,26 +25,24 @@ def complement(nodes: DataFrame, disallowed: DataFrame) -> DataFrame:
     return a.join(b, F.col("src") != F.col("dst")).join(disallowed, ["src", "dst"], "left_anti")
 
 
-def layers(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> tuple[DataFrame, bool]:
+def layers(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, bool]:
     """(node, layer) by repeatedly taking nodes without open predecessors; whether all were taken (no cycle).
 
-    Each round is checkpointed, so plans don't grow with the depth of the graph."""
+    Each round is checkpointed, so plans don't grow with the depth of the graph, and rounds go on until none is free."""
     spark = nodes.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stepweave-"))
-    left, open_edges, done = nodes.select("node").distinct().checkpoint(), edges.select("src", "dst").distinct().checkpoint(), None
-    for layer in range(most):
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
+    left, open_edges, path, layer = nodes.select("node").distinct().checkpoint(), edges.select("src", "dst").distinct().checkpoint(), work_dir(spark, "layers"), 0
+    while True:
         free = left.join(open_edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("layer", F.lit(layer)).checkpoint()
         if free.isEmpty():
             break
-        done = free if done is None else done.unionByName(free)
+        free.write.mode("append").parquet(path)
         left = left.join(free, "node", "left_anti").checkpoint()
         open_edges = open_edges.join(free, open_edges.src == free.node, "left_anti").checkpoint()
-    if done is None:
-        done = left.limit(0).withColumn("layer", F.lit(0))
-    return done, left.isEmpty()
+        layer += 1
+    empty = left.limit(0).withColumn("layer", F.lit(0))
+    return (spark.read.schema(empty.schema).parquet(path) if layer else empty), left.isEmpty()
 
 
 def topological(nodes: DataFrame, edges: DataFrame, cycle: str = "empty") -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from stepweave.functions.rules import config_filter
 from stepweave.functions.text import col, truncated
@@ -14,6 +18,24 @@ def white_space_tokens(text: Column | str) -> Column:
     return F.size(F.filter(F.split(col(text), r"\s+"), lambda t: t != "")).cast("long")
 
 
+def tokens_by(count: Callable[[str], int]):
+    """A Column function that counts with a tokenizer of its own, such as a BPE encoder."""
+
+    @F.pandas_udf(LongType())
+    def counted(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: 0 if t is None else count(t)).astype("int64")
+
+    return counted
+
+
+def tokens_left(tokens: Column | str, limit: int) -> Column:
+    return F.lit(limit) - col(tokens)
+
+
+def share_used(tokens: Column | str, limit: int) -> Column:
+    return col(tokens) / F.lit(limit)
+
+
 def _ranks(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """_old from 1 for the oldest, _new from 1 for the newest."""
     w = Window.partitionBy(*keys)

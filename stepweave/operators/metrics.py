@@ -6,14 +6,17 @@ shapes(slide, idx, ...), pixels(img, x, y, r, g, b, a), files(name, text or hash
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepweave.functions import rules as R
 from stepweave.functions import text as T
-from stepweave.functions.similarity import char_ratio, fuzzy_ratio, hash_distance, line_ratio, same_code
+from stepweave.functions.similarity import char_ratio, fuzzy_ratio, hash_distance, line_ratio, same_code, series_similarity, ssim
 from stepweave.functions.urls import equal_urls, matches_all, without_query
 from stepweave.operators.checks import REGISTRY, check, color_distance, every_row, image_statistics, lines_expected, mean_squared_difference, no_row, one, opaque_box, score, second_rarest_color, sharpness, some_row
+from stepweave.operators.sheets import numbered
 
 Score = DataFrame
 
@@ -39,6 +42,7 @@ REGISTRY |= {
     "diff_text_file": lambda a, b: line_ratio(a, b),
     "compare_pdf_content": lambda a, b, least=0.95: score(char_ratio(a, b) >= least),
     "compare_python_pure_text": lambda a, b: score(same_code(a, b)),
+    "compare_audios": lambda a, b: series_similarity(a, b),
     "compare_config": lambda a, b: score(T.col(a) == T.col(b)),
     "compare_answer": lambda a, b: score(T.col(a) == T.col(b)),
     "compare_terminal_and_txt": lambda a, b: score((T.col(a) == T.col(b)) & (T.col(a) != "")),
@@ -83,8 +87,12 @@ def fuzzy_place_math(paragraphs: DataFrame, answers: list[str]) -> Score:
     return words.agg(F.when(F.count(F.lit(1)) == 3, F.avg(best / 100)).otherwise(0.0).alias("score"))
 
 
+# Fixed value: a time of day with seconds.
+TIME_OF_DAY = r"([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)"
+
+
 @check
-def check_line_number(lines: DataFrame, expected: int, pattern: str = r"([0-9]{2}):([0-9]{2})") -> Score:
+def check_line_number(lines: DataFrame, expected: int, pattern: str = TIME_OF_DAY) -> Score:
     return one(lines, F.count_if(F.col("line").rlike(pattern)) == expected)
 
 
@@ -140,25 +148,27 @@ def is_included_all_json_objects(gold: DataFrame, result: DataFrame) -> Score:
 
 @check
 def compare_csv(result: DataFrame, expected: list[DataFrame], strict: bool = True, ignore_case: bool = False) -> Score:
-    """Lines(at, line) equal to those of one of the expected files; otherwise stripped lines, and empty ones left out."""
+    """Lines(at, line) equal to those of one of the expected files; otherwise stripped lines, and empty ones left out.
+
+    Lines meet by their places, so a file is never brought into one row."""
 
     def lines(df):
         line = F.lower("line") if ignore_case else F.col("line")
         rows = df.select("at", (line if strict else T.stripped(line)).alias("line"))
-        rows = rows if strict else rows.where("line <> ''")
-        return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda s: s["line"]).alias("lines"))
+        return numbered(rows if strict else rows.where("line <> ''"), "at", "k")
 
-    out = lines(result).withColumn("found", F.lit(False))
+    own, scores = lines(result), None
     for e in expected:
-        out = out.crossJoin(lines(e).withColumnRenamed("lines", "other")).select("lines", (F.col("found") | (F.col("lines") == F.col("other"))).alias("found"))  # one row each
-    return out.select(score(F.col("found")).alias("score"))
+        found = every_row(paired(own, lines(e), ["k"], ["line"]), both_sides() & (F.col("line_1") == F.col("line_2")))
+        scores = found if scores is None else scores.unionByName(found)
+    return scores.agg(F.max("score").alias("score"))
 
 
 @check
 def compare_table(result: dict[str, DataFrame], expected: dict[str, DataFrame], rules: list[dict]) -> Score:
     """Rules in order over named tables; the lowest score is the table's.
 
-    sheet_name: equal lists of names; sheet_data: cells equal after rounding to 4 digits; sheet_fuzzy: cells under normalizing rules;
+    sheet_name: equal lists of names; sheet_print: equal lines (at, line) of the printed sheets, whatever their case if asked for; sheet_data: cells equal after rounding to 4 digits; sheet_fuzzy: cells under normalizing rules;
     style, freeze, zoom, row_props, col_props, filter, chart, sparkline, pivot_table, data_validation: rows of properties (keys, values)
     equal, or each meeting a rule; check_cell: a value under a rule."""
     spark = next(iter([*result.values(), *expected.values()])).sparkSession
@@ -167,6 +177,8 @@ def compare_table(result: dict[str, DataFrame], expected: dict[str, DataFrame],
         kind = r["type"]
         if kind == "sheet_name":
             found = spark.range(1).select(F.lit(float(list(result) == list(expected))).alias("score"))
+        elif kind == "sheet_print":
+            found = compare_csv(result[r["sheet"]], [expected[r["sheet"]]], ignore_case=r.get("ignore_case", False))
         elif kind == "sheet_data":
             found = cells_agree(result[r["sheet"]], expected[r["sheet"]])
         elif kind == "sheet_fuzzy":
@@ -257,19 +269,31 @@ def is_first_line_centered(paragraphs: DataFrame) -> Score:
     return one(paragraphs, F.min_by("alignment", "idx") == "center")
 
 
+def by_document(df: DataFrame, order: str):
+    """Rows of a document in order; without a column `doc` all rows are of one document, which then is one task's."""
+    return Window.partitionBy("doc").orderBy(order) if "doc" in df.columns else Window.orderBy(order)
+
+
 @check
-def check_tabstops(a: DataFrame, b: DataFrame, width: float, words: int | None = None) -> Score:
-    """Paragraphs with text, by order: 1 minus the mean distance of their tab stops, in page widths; other counts score 0."""
+def check_tabstops(a: DataFrame, b: DataFrame, width: float, words: int | None = None, index: int = 0) -> Score:
+    """Paragraphs with text, by order: 1 minus the mean distance of their tab stops, in widths of the text.
+
+    stops: array of (position, alignment); cleared ones and left ones at 0 don't count. Other numbers of paragraphs or of stops, or
+    other alignments, score 0. words: so many words in piece `index` between the tabs of each paragraph of the first document."""
+    real = lambda c: F.filter(c, lambda t: ~((F.lower(t["alignment"]) == "clear") | ((F.lower(t["alignment"]) == "left") & (t["position"] == 0))))
 
     def own(df):
-        rows = df.where("trim(text) <> ''")
-        return rows.withColumn("k", F.row_number().over(Window.orderBy("idx")))  # the paragraphs of one document
+        rows = df.where(F.trim("text") != "").withColumn("stops", real(F.coalesce("stops", F.array().cast(dict(df.dtypes)["stops"]))))
+        return rows.withColumn("k", F.row_number().over(by_document(rows, "idx")))
 
-    both = paired(own(a), own(b), ["k"], ["stops", "text"])
-    lost = F.when(both_sides() & (F.size("stops_1") == F.size("stops_2")), F.aggregate(F.zip_with("stops_1", "stops_2", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / width)
+    both = paired(own(a), own(b), [*(["doc"] if "doc" in a.columns else []), "k"], ["stops", "text"])
+    alike = F.transform("stops_1", lambda t: F.lower(t["alignment"])) == F.transform("stops_2", lambda t: F.lower(t["alignment"]))
+    far = F.aggregate(F.zip_with("stops_1", "stops_2", lambda x, y: F.abs(x["position"] - y["position"]).cast("double")), F.lit(0.0), lambda s, x: s + x)
+    lost = F.when(both_sides() & alike, far / width)
     if words is not None:
-        lost = F.when(F.size(F.split("text_1", r"\t")) == words, lost)
-    return both.agg(F.when(F.bool_and(lost.isNotNull()), F.greatest(F.lit(0.0), 1 - F.avg(lost))).otherwise(0.0).alias("score"))
+        piece = F.get(F.split("text_1", r"\t"), index)
+        lost = F.when(F.size(F.filter(F.split(piece, r"\s"), lambda w: w != "")) == words, lost)
+    return both.agg(F.when(F.bool_and(lost.isNotNull()), 1 - F.avg(lost)).otherwise(0.0).alias("score"))
 
 
 @check
@@ -323,7 +347,7 @@ def compare_references(a: DataFrame, b: DataFrame, indicator: str, base: float)
     def after(df):
         at = df.where(F.col("text") == indicator).agg(F.max("idx").alias("at"))
         rows = df.join(F.broadcast(at), F.col("idx") > F.col("at")).where("trim(text) <> ''")  # one row
-        return rows.withColumn("k", F.row_number().over(Window.orderBy("idx")))  # the references of one document
+        return rows.withColumn("k", F.row_number().over(by_document(rows, "idx")))
 
     both = paired(after(a), after(b), ["k"], ["text"])
     mean = F.when(F.bool_and(both_sides()), F.avg(fuzzy_ratio("text_1", "text_2") / 100))
@@ -331,13 +355,16 @@ def compare_references(a: DataFrame, b: DataFrame, indicator: str, base: float)
 
 
 @check
-def compare_unique_train_records(result: DataFrame, initial: DataFrame, gold_ids: DataFrame, count: int) -> Score:
-    """Lines of the result come from the initial ones, each id once, the ids are the gold ones, and so is their number."""
-    ids = result.select("line", T.record_field("line", 2).alias("id"))
-    foreign = result.select("line").join(initial.select("line"), "line", "left_anti").agg(F.count(F.lit(1)).alias("foreign"))
-    both = ids.select("id").distinct().withColumn("a", F.lit(1)).join(gold_ids.select("id").distinct().withColumn("b", F.lit(1)), "id", "full").agg(F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("off"))
-    own = ids.agg(F.count("id").alias("n"), F.count_distinct("id").alias("d"))
-    return own.crossJoin(foreign).crossJoin(both).select(score((F.col("n") == F.col("d")) & (F.col("n") == count) & (F.col("foreign") == 0) & (F.col("off") == 0)).alias("score"))  # one row each
+def compare_unique_train_records(result: DataFrame, initial: DataFrame, gold: DataFrame) -> Score:
+    """Stripped lines that are not empty: those of the result are among the initial ones and as many as the gold ones; its ids (the second
+    of four fields) are all different, and those of the gold lines."""
+    own = lambda df: df.select(T.stripped("line").alias("line")).where("line <> ''").select("line", T.record_field("line", 2).alias("id"))
+    mine, wanted = own(result), own(gold)
+    foreign = mine.join(own(initial), "line", "left_anti").agg(F.count(F.lit(1)).alias("foreign"))
+    ids = lambda df, name: df.where("id is not null").select("id").distinct().withColumn(name, F.lit(1))
+    both = ids(mine, "a").join(ids(wanted, "b"), "id", "full").agg(F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("off"))
+    counts = mine.agg(F.count(F.lit(1)).alias("lines"), F.count("id").alias("n"), F.count_distinct("id").alias("d"))
+    return counts.crossJoin(wanted.agg(F.count(F.lit(1)).alias("gold"))).crossJoin(foreign).crossJoin(both).select(score((F.col("n") == F.col("d")) & (F.col("lines") == F.col("gold")) & (F.col("foreign") == 0) & (F.col("off") == 0)).alias("score"))  # one row each
 
 
 # slides
@@ -427,6 +454,130 @@ def structure_check_by_mse(a: DataFrame, b: DataFrame, most: float = 0.03) -> Sc
     return mean_squared_difference(a, b).select(score(F.col("mse") < most).alias("score"))
 
 
+def image_similarity(a: DataFrame, b: DataFrame, planes: str = "rgb") -> DataFrame:
+    """(img, ssim): mean structural similarity of the planes of two images of one name, 0 where sizes differ or are too small.
+
+    An image is one group: its pixels become matrices there."""
+    columns = ["img", "x", "y", *planes]
+    both = a.select(*columns).withColumn("side", F.lit(0)).unionByName(b.select(*columns).withColumn("side", F.lit(1)))
+    kind = dict(a.dtypes)["img"]
+
+    def matrices(pdf):
+        rows, cols = (pdf["y"] - pdf["y"].min()).to_numpy(), (pdf["x"] - pdf["x"].min()).to_numpy()
+        out = np.zeros((len(planes), rows.max() + 1, cols.max() + 1))
+        for i, c in enumerate(planes):
+            out[i, rows, cols] = pdf[c]
+        return out
+
+    def similar(pdf):
+        first, second = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        found = 0.0
+        if len(first) and len(second):
+            found = float(np.mean([ssim(x, y) if x.shape == y.shape else 0.0 for x, y in zip(matrices(first), matrices(second), strict=True)]))
+        return pd.DataFrame({"img": pdf["img"].iloc[:1], "ssim": [found]})
+
+    return both.groupBy("img").applyInPandas(similar, f"img {kind}, ssim double")
+
+
+def resized(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """Each image at another size: every target pixel takes the source pixel whose area holds its middle. One row a target pixel."""
+    size = pixels.groupBy("img").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))
+    place = lambda at, whole, first, own: F.floor((F.col(at) + 0.5) * F.col(own) / whole) + F.col(first)
+    grid = size.select("img", "x0", "y0", "w", "h", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("tx")).select("*", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("ty"))
+    grid = grid.select("img", "tx", "ty", place("tx", width, "x0", "w").cast("long").alias("x"), place("ty", height, "y0", "h").cast("long").alias("y"))
+    others = [c for c in pixels.columns if c not in ("img", "x", "y")]
+    return grid.join(pixels, ["img", "x", "y"]).select("img", F.col("tx").alias("x"), F.col("ty").alias("y"), *others)
+
+
+def normalized_brightness(pixels: DataFrame, target: float = 128.0) -> DataFrame:
+    """Each image with its channels scaled so that its mean brightness is the target, within 0 to 255."""
+    scale = image_statistics(pixels).select("img", F.when(F.col("brightness") > 0, F.lit(target) / F.col("brightness")).otherwise(1.0).alias("_scale"))
+    return pixels.join(scale, "img").select(*[(F.least(F.lit(255), F.floor(F.col(c) * F.col("_scale"))).alias(c) if c in "rgb" else F.col(c)) for c in pixels.columns])
+
+
+def _structure(a: DataFrame, b: DataFrame, least: float = 0.9, planes: str = "rgb") -> Score:
+    return every_row(image_similarity(a, b, planes), F.col("ssim") >= least)
+
+
+def _all(*scores: Score) -> Score:
+    found = scores[0]
+    for more in scores[1:]:
+        found = found.unionByName(more)
+    return found.agg(F.min("score").alias("score"))
+
+
+def hue_and_value(pixels: DataFrame) -> DataFrame:
+    """Hue (0 to 255) and value of each pixel, as planes h and v."""
+    high, low = F.greatest("r", "g", "b"), F.least("r", "g", "b")
+    span = high - low
+    part = lambda c: (high - F.col(c)) / span
+    turn = F.when(F.col("r") == high, part("b") - part("g")).when(F.col("g") == high, 2 + part("r") - part("b")).otherwise(4 + part("g") - part("r")) / 6
+    hue = F.when(span == 0, F.lit(0)).otherwise(F.floor((turn - F.floor(turn)) * 255))
+    return pixels.select("img", "x", "y", hue.alias("h"), high.alias("v"))
+
+
+@check
+def check_structure_sim(a: DataFrame, b: DataFrame, least: float = 0.9) -> Score:
+    return _structure(a, b, least)
+
+
+@check
+def check_structure_sim_resized(a: DataFrame, b: DataFrame, width: int, height: int) -> Score:
+    """The source without what is transparent, at the target's size, is like the target."""
+    return _structure(resized(a.where("a > 0") if "a" in a.columns else a, width, height), b)
+
+
+@check
+def check_brightness_decrease_and_structure_sim(a: DataFrame, b: DataFrame, most: float = 0.03) -> Score:
+    """The first is darker, and like the second once both have one brightness."""
+    return _all(_compared(a, b, "brightness", less=True), structure_check_by_mse(normalized_brightness(a), normalized_brightness(b), most))
+
+
+@check
+def check_saturation_increase_and_structure_sim(a: DataFrame, b: DataFrame) -> Score:
+    """The first is more saturated; hues and values are alike."""
+    x, y = hue_and_value(a), hue_and_value(b)
+    return _all(_compared(a, b, "saturation", less=False), _structure(x, y, planes="h"), _structure(x, y, planes="v"))
+
+
+@check
+def check_contrast_increase_and_structure_sim(a: DataFrame, b: DataFrame) -> Score:
+    return _all(_compared(a, b, "contrast", less=False), _structure(a, b, 0.65))
+
+
+@check
+def check_palette_and_structure_sim(a: DataFrame, b: DataFrame, palette: bool) -> Score:
+    """palette: whether the source file holds a palette, which pixels don't tell."""
+    return _all(_structure(a, b), a.sparkSession.range(1).select(F.lit(float(palette)).alias("score")))
+
+
+@check
+def compare_triangle_positions(a: DataFrame, b: DataFrame, near: float = 5.0) -> Score:
+    """The centres of both images' second rarest color are near each other."""
+    x, y = (second_rarest_color(d).select("img", F.col("cx").alias(f"x{i}"), F.col("cy").alias(f"y{i}")) for i, d in enumerate((a, b)))
+    return every_row(x.join(y, "img", "full"), F.coalesce(F.hypot(F.col("x0") - F.col("x1"), F.col("y0") - F.col("y1")) <= near, F.lit(False)))
+
+
+REGISTRY["check_file_exists_and_structure_sim"] = REGISTRY["compare_images"] = REGISTRY["structure_check_by_ssim"] = check_structure_sim
+
+
+@check
+def check_file_exists(files: DataFrame, name: str) -> Score:
+    return some_row(files, F.col("name") == name)
+
+
+@check
+def compare_pdfs(pairs: DataFrame) -> Score:
+    """pairs(text_1, text_2): their mean fuzzy ratio."""
+    return ratio_score(pairs, fuzzy_ratio("text_1", "text_2") / 100)
+
+
+@check
+def compare_docx_images(a: DataFrame, b: DataFrame) -> Score:
+    """images(idx, hash) of two documents are equal, place by place."""
+    return every_row(paired(a, b, ["idx"], ["hash"]), both_sides() & (F.col("hash_1") == F.col("hash_2")))
+
+
 @check
 def compare_image_list(a: DataFrame, b: DataFrame) -> Score:
     return every_row(paired(a, b, ["img", "x", "y"], list("rgb")), both_sides() & (F.col("r_1") == F.col("r_2")) & (F.col("g_1") == F.col("g_2")) & (F.col("b_1") == F.col("b_2")))
@@ -529,11 +680,27 @@ def is_shortcut_on_desktop(files: DataFrame, kind: str, value: str) -> Score:
     return some_row(files, F.contains("text", F.lit(f"{kind.capitalize()}={value}\n")))
 
 
+def choices(alternatives: list[str | list[str]]) -> list[list[str]]:
+    """All sets, sorted, that one choice of each slot can make."""
+    found = {frozenset()}
+    for slot in alternatives:
+        found = {have | {one_of} for have in found for one_of in ([slot] if isinstance(slot, str) else slot)}
+    return sorted(sorted(f) for f in found)
+
+
 @check
-def is_expected_bookmarks(bookmarks: DataFrame, kind: str, expected: list[str]) -> Score:
-    """bookmarks(kind, name, url): folder names, or URLs, as a set."""
+def is_expected_bookmarks(bookmarks: DataFrame, kind: str, expected: list[str | list[str]], folder: str = "Liked Authors") -> Score:
+    """bookmarks(kind, name, url, folder; folder null on the bar itself): names of the bar's folders, or its URLs, as a set.
+
+    liked_authors: the URLs in a folder of the bar, as one of the sets that choices of the alternatives make."""
+    top = F.col("folder").isNull() if "folder" in bookmarks.columns else F.lit(True)
+    if kind == "liked_authors":
+        has = F.coalesce(F.bool_or((F.col("kind") == "folder") & top & (F.col("name") == folder)), F.lit(False))
+        urls = F.array_sort(F.collect_set(F.when((F.col("kind") == "url") & (F.col("folder") == folder), F.col("url"))))
+        sets = F.array(*[F.array(*[F.lit(u) for u in c]) for c in choices(expected)])
+        return bookmarks.agg(has.alias("has"), urls.alias("have")).select(score(F.col("has") & F.array_contains(sets, F.col("have"))).alias("score"))
     column = {"folder": "name", "url": "url"}[kind]
-    have = bookmarks.where(F.col("kind") == kind).agg(F.array_sort(F.collect_set(column)).alias("have"))
+    have = bookmarks.where((F.col("kind") == kind) & top).agg(F.array_sort(F.collect_set(column)).alias("have"))
     return have.select(score(F.col("have") == F.array_sort(F.array(*[F.lit(e) for e in sorted(set(expected))]))).alias("score"))
 
 
@@ -569,11 +736,12 @@ CONDITION = r"\b(?:AND|OR) \((?:[\w ]+),(?:[\w ']+),(?:\"(?:[^\"]+)\"|(?:[^)]+))
 
 
 def filter_records(lines: DataFrame) -> DataFrame:
-    """Mail filters of (at, line): a `name=` line opens a record; its fields, and conditions as an array."""
-    numbered = lines.withColumn("record", F.sum(F.startswith("line", F.lit("name=")).cast("int")).over(Window.orderBy("at")))  # the lines of one file
+    """Mail filters of (at, line), with `doc` where there are several files: a `name=` line opens a record; its fields, and conditions as an array."""
+    doc = ["doc"] if "doc" in lines.columns else []
+    named = lines.withColumn("record", F.sum(F.startswith("line", F.lit("name=")).cast("int")).over(by_document(lines, "at")))
     plain = lambda c: F.replace(F.replace(c, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
     field = lambda k: F.max(F.when(F.startswith("line", F.lit(f"{k}=")), plain(F.regexp_extract("line", rf'^{k}="(.*)"$', 1)))).alias(k)
-    rows = numbered.where("record > 0").groupBy("record").agg(*[field(k) for k in ("name", "enabled", "type", "action", "actionValue", "condition")])
+    rows = named.where("record > 0").groupBy(*doc, "record").agg(*[field(k) for k in ("name", "enabled", "type", "action", "actionValue", "condition")])
     return rows.where("condition is not null").withColumn("condition", F.regexp_extract_all("condition", F.lit(CONDITION), F.lit(0)))
 
 

@@ -37,9 +37,16 @@ def first_occurrence(df: DataFrame, text: str, order: str) -> DataFrame:
     return df.groupBy(normalized(text).alias("norm")).agg(F.min(order).alias(order), F.count(F.lit(1)).alias("n_rows"))
 
 
+def text_digest(text: Column | str) -> Column:
+    """128 bits of a text, which are shuffled in its place."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit("b"), F.reverse(c)).alias("b"))
+
+
 def not_in_store(df: DataFrame, text: str, store: DataFrame, store_text: str) -> DataFrame:
-    known = store.select(normalized(store_text).alias("norm")).distinct()
-    return df.withColumn("norm", normalized(text)).join(known, "norm", "left_anti")
+    """Rows whose normalized text the store lacks (a null one is never there). Texts meet by their digests."""
+    known = store.select(text_digest(normalized(store_text)).alias("_digest")).where(F.col(store_text).isNotNull()).distinct()
+    return df.withColumn("_digest", text_digest(normalized(text))).join(known, "_digest", "left_anti").drop("_digest")
 
 
 def check_and_store(proposals: DataFrame, store: DataFrame, text: str, order: str) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepweave.sources.places import work_dir, written
+
+#: Columns that a transposed sheet may have.
+WIDEST = 10_000
 _AGGREGATES = {"count": F.count, "sum": F.sum, "average": F.avg, "min": F.min, "max": F.max}
 
 
@@ -38,10 +42,12 @@ def reorder(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def transpose(df: DataFrame, key: str) -> DataFrame:
-    """Names of the other columns become rows, values of the key become columns. For sheets of bounded size."""
+    """Names of the other columns become rows, values of the key become columns: WIDEST of them at most, as a plan has to name them."""
     others = [c for c in df.columns if c != key]
     long = df.select(F.col(key).cast("string").alias(key), *[F.col(c).cast("string").alias(c) for c in others]).unpivot([key], others, "field", "value")
-    keys = [r[0] for r in long.select(key).distinct().orderBy(key).limit(1000).collect()]
+    keys = [r[0] for r in df.select(F.col(key).cast("string").alias(key)).distinct().orderBy(key).limit(WIDEST + 1).collect()]
+    if len(keys) > WIDEST:
+        raise ValueError(f"{key} has more than {WIDEST} values: a sheet so wide can't be transposed")
     return long.groupBy("field").pivot(key, keys).agg(F.first("value"))
 
 
@@ -52,17 +58,26 @@ def widths(df: DataFrame) -> DataFrame:
     return long.select("column", F.greatest("longest", F.length("column")).cast("long").alias("width"))
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Rows numbered from 0 by the order, without bringing them into one task: ranges of the order, and the rows before each."""
+    ordered = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    ordered = written(ordered.withColumn("_at", F.monotonically_increasing_id()), work_dir(df.sparkSession, "numbered"))
+    parts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    parts = parts.select("_part", (before - F.col("_first")).alias("_shift"))
+    return ordered.join(F.broadcast(parts), "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+
+
 def cells(df: DataFrame, sheet: str, order: str) -> DataFrame:
     """(sheet, row, col, value), rows numbered by the order."""
-    numbered = df.withColumn("row", F.row_number().over(Window.orderBy(order)) - 1)
     pairs = [F.struct(F.lit(i).alias("col"), F.col(c).cast("string").alias("value")) for i, c in enumerate(df.columns)]
-    return numbered.select(F.lit(sheet).alias("sheet"), "row", F.explode(F.array(*pairs)).alias("c")).select("sheet", "row", "c.col", "c.value")
+    rows = numbered(df, order, "_row")
+    return rows.select(F.lit(sheet).alias("sheet"), F.col("_row").alias("row"), F.explode(F.array(*pairs)).alias("c")).select("sheet", "row", "c.col", "c.value")
 
 
 def set_column(df: DataFrame, order: str, column: str, values: DataFrame) -> DataFrame:
     """The column takes values(at, value) by place, from 0; places without one keep theirs."""
-    numbered = df.withColumn("at", F.row_number().over(Window.orderBy(order)) - 1)
-    joined = numbered.join(values, "at", "left").withColumn(column, F.coalesce(F.col("value").cast(dict(df.dtypes)[column]), F.col(column)))
+    joined = numbered(df, order, "at").join(values, "at", "left").withColumn(column, F.coalesce(F.col("value").cast(dict(df.dtypes)[column]), F.col(column)))
     return joined.select(*df.columns)
 
 

@@ -132,3 +132,14 @@ def training_messages(steps: DataFrame, keys: list[str], order: list[str], task:
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     made = made.withColumn("messages", F.array(message("user", user), message("assistant", F.array(block("text", answer, none)))))
     return made.drop("_history", "_images")
+
+
+def appended(replayed: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Replayed steps and then the new ones: `segment` 0 or 1, and `at` from 0 in each trajectory."""
+    rows = replayed.withColumn("segment", F.lit(0)).unionByName(new.withColumn("segment", F.lit(1)))
+    return rows.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("segment", order)) - 1)
+
+
+def chosen_files(files: DataFrame, at: str, gives: list[int]) -> DataFrame:
+    """The files whose places are asked for."""
+    return files.where(F.col(at).isin(gives))

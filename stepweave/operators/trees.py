@@ -115,13 +115,21 @@ def iou(a: str, b: str) -> Column:
 
 
 def overlapping_pairs(nodes: DataFrame, key: str, order: str, norm: str, cell: int = 64, least: float = 0.2) -> DataFrame:
-    """(key, first, second) of boxes with one text that overlap: boxes meet by key, text and a grid cell that both touch."""
-    box = F.struct("x", "y", "w", "h").alias("box")
+    """(key, first, second, iou) of boxes with one text that overlap. `order` is unique within a key.
+
+    Boxes meet by key, text and a grid cell that both touch. A pair counts in one cell alone, that of the top-left corner of what
+    they share, so no pair comes twice and one shuffle is enough."""
     touched = lambda at, size: F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.greatest(F.col(size), F.lit(1)) - 1) / cell))
-    gridded = nodes.select(key, norm, F.col(order).alias("o"), box, F.explode(touched("x", "w")).alias("gx"), touched("y", "h").alias("gys")).withColumn("gy", F.explode("gys")).drop("gys")
-    a, b = gridded.withColumnsRenamed({"o": "first", "box": "box1"}), gridded.withColumnsRenamed({"o": "second", "box": "box2"})
-    pairs = a.join(b, [key, norm, "gx", "gy"]).where("first < second")
-    return pairs.withColumn("iou", iou("box1", "box2")).where(F.col("iou") > least).groupBy(key, "first", "second").agg(F.max("iou").alias("iou"))
+    gridded = nodes.select(key, norm, F.col(order).alias("o"), *"xywh", F.explode(touched("x", "w")).alias("gx"), touched("y", "h").alias("gys")).withColumn("gy", F.explode("gys")).drop("gys")
+    a = gridded.withColumnsRenamed({"o": "first", **{c: f"{c}1" for c in "xywh"}})
+    b = gridded.withColumnsRenamed({"o": "second", **{c: f"{c}2" for c in "xywh"}})
+    side = lambda at, size: F.least(F.col(f"{at}1") + F.col(f"{size}1"), F.col(f"{at}2") + F.col(f"{size}2")) - F.greatest(f"{at}1", f"{at}2")
+    corner = lambda at: F.floor(F.greatest(f"{at}1", f"{at}2") / cell)
+    here = (F.col("first") < F.col("second")) & (corner("x") == F.col("gx")) & (corner("y") == F.col("gy")) & (side("x", "w") > 0) & (side("y", "h") > 0)
+    pairs = a.join(b, [key, norm, "gx", "gy"]).where(here)
+    shared = side("x", "w") * side("y", "h")
+    ratio = shared / (F.col("w1") * F.col("h1") + F.col("w2") * F.col("h2") - shared)
+    return pairs.select(key, "first", "second", ratio.alias("iou")).where(F.col("iou") > least)
 
 
 def drop_overlaps(nodes: DataFrame, key: str, order: str, norm: str, least: float = 0.2) -> DataFrame:

@@ -8,6 +8,7 @@ from stepweave.functions import rules as R
 from stepweave.functions import text as T
 from stepweave.functions.similarity import char_ratio, fuzzy_ratio, line_ratio, same_code
 from stepweave.operators import checks
+from stepweave.operators.metrics import TIME_OF_DAY
 from stepweave.plans.registry import register
 from stepweave.session import table
 
@@ -98,9 +99,9 @@ def list_regex_check(spark, sf_dir):
     return checks.lines_expected(table(spark, sf_dir, "documents").select("text"), "text", ["Licen[cs]e", "[0-9]{2}"], ["^@@@"])
 
 
-@register("line_number_check", r"select doc_id, cast(len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[0-9]{2}:[0-9]{2}'))) as bigint) as n_times from documents where text is not null")
+@register("line_number_check", r"select doc_id, cast(len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)'))) as bigint) as n_times from documents where text is not null")
 def line_number_check(spark, sf_dir):
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[0-9]{2}:[0-9]{2}"))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(TIME_OF_DAY))
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(lines).cast("long").alias("n_times"))
 
 

@@ -5,13 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where the session names none (tests), under a folder of this process."""
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where the session names none and all tasks run in this process (tests), a folder of this process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="stepweave-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under shared_root."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows of df, from Parquet in the shared folder: nothing upstream runs again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -153,3 +153,37 @@ def test_cells(spark):
 def test_last_value_of(spark):
     assert one(spark, T.last_value_of("t", "qt-bgcone", "1"), t="qt-bgcone=1\nx=2\nqt-bgcone=0") == "0"
     assert one(spark, T.last_value_of("t", "other", "1"), t="x=2") == "1"
+
+
+def test_browser_settings(spark):
+    import json
+
+    from stepweave.functions import preferences as B
+
+    mark = lambda t, n, **k: {"type": t, "name": n, **k}
+    full = {"default_search_provider_data": {"template_url_data": {"short_name": "Other"}}, "browser": {"enabled_labs_experiments": ["a@1"]}, "profile": {"name": "P", "default_content_setting_values": {"cookies": 4}}, "intl": {"app_locale": "fr"}, "webkit": {"webprefs": {"default_font_size": 20}}, "enable_do_not_track": True, "safebrowsing": {"enhanced": False, "enabled": True}, "session": {"restore_on_startup": 1}, "extensions": {"settings": {"x": {"path": "/p", "manifest": {"name": "N"}}}}, "roots": {"bookmark_bar": {"children": [mark("url", "n", url="u"), mark("folder", "F", children=[mark("url", "m", url="w")])]}}}
+    rows = spark.createDataFrame([(1, json.dumps(full)), (2, "{}"), (3, "not json")], "k int, s string")
+    got = rows.select("k", B.search_engine("s"), B.enabled_experiments("s"), B.profile_name("s"), B.language("s"), F.element_at(B.font_sizes("s"), "default_font_size"), B.do_not_track("s"), B.enhanced_safe_browsing("s"), B.safe_browsing("s"), B.new_startup_page("s"), B.data_deleted_on_exit("s"), B.extension_paths("s"), B.extension_names("s"))
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (1, "Other", ["a@1"], "P", "fr", 20, "true", "false", "true", "false", "true", ["/p"], ["N"]),
+        (2, "Google", [], None, "en-US", 16, "false", "false", "false", "true", "Google", [], []),
+        (3, "Google", [], None, "en-US", 16, "false", "Google", "false", "Google", "Google", [], []),
+    ]
+    found = {(r.kind, r["name"], r.url, r.folder) for r in B.bookmarks(rows, "k", "s").collect()}
+    assert found == {("folder", "F", None, None), ("url", "m", "w", "F"), ("url", "n", "u", None)}
+
+
+def test_costs_files_and_tokens(spark):
+    import hashlib
+
+    from stepweave.functions.urls import file_name
+    from stepweave.operators.messages import share_used, tokens_by, tokens_left
+
+    rows = spark.createDataFrame([("0.5$", "0.25$"), ("1￥", "2$"), ("3", None), ("x", "1")], "a string, b string")
+    assert [r[0] for r in rows.select(T.added_cost("a", "b")).collect()] == ["0.750000$", "3.000000￥", "3.000000$", "1.000000$"]
+    url = "https://a.org/x/y.pdf"
+    df = spark.createDataFrame([(url, "a bc d"), (None, None)], "u string, t string")
+    names = [r[0] for r in df.select(file_name("u")).collect()]
+    assert names == [f"a.org_y.pdf_{hashlib.blake2b(url.encode()).hexdigest()[:8]}", None]
+    n = tokens_by(len)("t")
+    assert [tuple(r) for r in df.select(n, tokens_left(n, 10), share_used(n, 12)).collect()] == [(6, 4, 0.5), (0, 10, 0.0)]

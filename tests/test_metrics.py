@@ -51,10 +51,61 @@ def test_documents(spark):
 
 
 def test_train_records(spark):
-    line = lambda *ids: lines(spark, *[f"a, {i}, b, c" for i in ids])
-    gold = spark.createDataFrame([("1",), ("2",)], "id string")
-    assert value(M.compare_unique_train_records(line(1, 2), line(1, 1, 2), gold, 2)) == 1
-    assert value(M.compare_unique_train_records(line(1, 1), line(1, 1, 2), gold, 2)) == 0
+    line = lambda *ids: lines(spark, *[f" a, {i}, b, c " for i in ids], "", "title")
+    assert value(M.compare_unique_train_records(line(1, 2), line(1, 1, 2), line(2, 1))) == 1
+    assert value(M.compare_unique_train_records(line(1, 1), line(1, 1, 2), line(1, 2))) == 0
+    assert value(M.compare_unique_train_records(line(1, 3), line(1, 2), line(1, 3))) == 0
+    assert value(M.compare_unique_train_records(line(1, 2), line(1, 2), lines(spark, "a,1,b,c", "a,2,b,c"))) == 0
+    assert value(M.compare_unique_train_records(lines(spark, "a,1,b,c", "short,1"), lines(spark, "a,1,b,c", "short,1"), lines(spark, "a,1,b,c", "x"))) == 1
+
+
+def test_times_of_day(spark):
+    rows = lines(spark, "12:34", "99:99:99", "at 23:59:60 sharp", "24:00:00", "00:00:00")
+    assert value(M.check_line_number(rows, 2)) == 1 and value(M.check_line_number(rows, 3)) == 0
+
+
+def test_tab_stops(spark):
+    kind = "idx int, text string, stops array<struct<position: double, alignment: string>>"
+    page = lambda *rows: spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(rows)], kind)
+    a = page(("one two\tthree", [(10.0, "left"), (0.0, "left"), (5.0, "clear")]), (" ", None), ("x y\tz", None))
+    assert value(M.check_tabstops(a, page(("t", [(20.0, "left")]), ("u", [])), 100.0)) == pytest.approx(0.95)
+    assert value(M.check_tabstops(a, page(("t", [(20.0, "right")]), ("u", [])), 100.0)) == 0
+    assert value(M.check_tabstops(a, page(("t", [(20.0, "left")])), 100.0)) == 0
+    assert value(M.check_tabstops(a, page(("t", [(310.0, "left")]), ("u", [])), 100.0)) == pytest.approx(-0.5)
+    same = page(("t", [(10.0, "left")]), ("u", []))
+    assert value(M.check_tabstops(a, same, 100.0, words=2)) == 1 and value(M.check_tabstops(a, same, 100.0, words=1)) == 0
+    assert value(M.check_tabstops(a, same, 100.0, words=1, index=1)) == 1
+
+
+def test_printed_sheets_and_bookmarks(spark):
+    a, b = lines(spark, "A,1", "b,2"), lines(spark, "a,1", "B,2")
+    rule = {"type": "sheet_print", "sheet": "S"}
+    assert value(M.compare_table({"S": a}, {"S": b}, [rule])) == 0 and value(M.compare_table({"S": a}, {"S": b}, [{**rule, "ignore_case": True}])) == 1
+    marks = spark.createDataFrame([("folder", "Liked Authors", None, None), ("url", "x", "u1", "Liked Authors"), ("url", "y", "u3", "Liked Authors"), ("url", "z", "u9", None)], "kind string, name string, url string, folder string")
+    assert value(M.is_expected_bookmarks(marks, "liked_authors", [["u1", "u2"], "u3"])) == 1
+    assert value(M.is_expected_bookmarks(marks, "liked_authors", [["u2", "u4"], "u3"])) == 0
+    assert value(M.is_expected_bookmarks(marks, "liked_authors", [["u1", "u3"], ["u1", "u3"], "u3"])) == 1
+    assert value(M.is_expected_bookmarks(marks.where("kind = 'url'"), "liked_authors", ["u1", "u3"])) == 0
+    assert value(M.is_expected_bookmarks(marks, "url", ["u9"])) == 1 and value(M.is_expected_bookmarks(marks, "folder", ["Liked Authors"])) == 1
+
+
+def test_structure_of_images(spark):
+    def image(f, w=12, h=10):
+        return spark.createDataFrame([("i", x, y, *f(x, y), 255) for x in range(w) for y in range(h)], "img string, x int, y int, r int, g int, b int, a int")
+
+    base = image(lambda x, y: ((x * 37 + y * 11) % 200, (x * 13) % 180, (y * 29) % 160))
+    dark = base.select("img", "x", "y", *[F.floor(F.col(c) / 2).cast("int").alias(c) for c in "rgb"], "a")
+    other = image(lambda x, y: ((x * 91 + y * 57) % 251, (y * 77) % 199, (x * 43) % 233))
+    assert value(M.check_structure_sim(base, base)) == 1 and value(M.check_structure_sim(base, other)) == 0
+    assert value(M.check_structure_sim(base, image(lambda x, y: (0, 0, 0), 13))) == 0
+    assert value(M.check_brightness_decrease_and_structure_sim(dark, base)) == 1 and value(M.check_brightness_decrease_and_structure_sim(base, dark)) == 0
+    twice = image(lambda x, y: ((x // 2 * 37 + y // 2 * 11) % 200, (x // 2 * 13) % 180, (y // 2 * 29) % 160), 24, 20)
+    assert value(M.check_structure_sim_resized(twice, base, 12, 10)) == 1
+    assert value(M.check_palette_and_structure_sim(base, base, True)) == 1 and value(M.check_palette_and_structure_sim(base, base, False)) == 0
+    gray = base.withColumn("g", F.col("r")).withColumn("b", F.col("r"))
+    assert value(M.check_saturation_increase_and_structure_sim(gray, base)) == 0
+    assert value(M.check_contrast_increase_and_structure_sim(dark, base)) == 0
+    assert value(M.compare_triangle_positions(base, base)) == 1
 
 
 def test_slides(spark):
@@ -120,6 +171,14 @@ def test_tool_responses():
     assert P.parse_tool_response("<tool_call>\nnot json\n</tool_call>") == ("", []) == P.parse_tool_response(None)
 
 
+def test_tuned_responses_say_where_a_drag_starts():
+    call = '{"name": "computer_use", "arguments": {"action": "left_click_drag", "start_coordinate": [0, 0], "coordinate": [999, 999]}}'
+    text = f"Reasoning: move it\n<tool_call>\n{call}\n</tool_call>"
+    assert P.parse_tool_response(text, (1920, 1080), tuned=True) == ("move it", ["pyautogui.moveTo(0, 0)", "pyautogui.dragTo(1920, 1080, duration=0.5)"])
+    assert P.parse_tool_response(text, (1920, 1080))[1] == ["pyautogui.dragTo(1920, 1080, duration=0.5)"]
+    assert P.parse_tool_response('{"name": "computer_use", "arguments": {"action": "left_click_drag"}}', tuned=True)[1] == ["pyautogui.dragTo(0, 0)"]
+
+
 def test_thoughts():
     found = P.parse_thought("Thought: look\nAction: click(start_box='(500,250)')")
     assert found == [{"reflection": None, "thought": "look", "action_type": "click", "action_inputs": {"start_box": "[0.5, 0.25, 0.5, 0.25]"}}]

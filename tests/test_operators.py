@@ -121,6 +121,66 @@ def test_chunks_fit_and_lose_no_line():
     assert "\n".join(made) == text
 
 
+def test_chunk_rules():
+    words = lambda t: len(t.split())
+    paragraphs = "\n".join(["a b c", "d e f", "", "g h i", "j k l", "", "m n o"])
+    assert retrieval.chunks_of(paragraphs, 9, words) == ["a b c\nd e f", "g h i\nj k l\n\nm n o"]
+    assert retrieval.chunks_of("one two three\nfour five six\nseven eight", 3, words, one_line=True) == ["one two three", "four five six", "seven eight"]
+    lines = [f"line {i}" for i in range(8)]
+    overlapped = retrieval.chunks_of("\n".join(lines), 6, words, break_at_blank=False, overlap=1)
+    # the share of the lines that the budget is: under 6 / 16 * 8 = 3 of them at first, and all of the last three
+    assert overlapped == ["line 0\nline 1", "line 1\nline 2", "line 2\nline 3", "line 3\nline 4", "line 4\nline 5", "line 5\nline 6\nline 7"]
+    long = " ".join(f"w{i}" for i in range(40))
+    broken = retrieval.chunks_of(long, 10, words)
+    assert "".join(broken[:-1]).replace(" ", "") == "".join(long.replace(" ", "")[: len("".join(broken[:-1]).replace(" ", ""))]) and all(len(c) >= retrieval.LEAST_CHUNK for c in broken)
+    assert retrieval.chunks_of("abc", 10, words) == [] and retrieval.chunks_of("", 1, words) == []
+    assert retrieval.chunks_of("\n".join(["x y z"] * 4), 3, words, break_at_blank=True)[0] == "x y z"
+
+
+def test_numbers_of_rows_across_partitions(spark):
+    df = spark.range(500).select(((F.col("id") * 7919) % 500).alias("v")).repartition(5)
+    assert sheets.numbered(df, "v", "at").where("at <> v").count() == 0
+    wide = spark.range(1200).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    assert len(sheets.transpose(wide, "k").columns) == 1201
+    with pytest.raises(ValueError):
+        sheets.transpose(spark.range(sheets.WIDEST + 5).select(F.col("id").alias("k"), F.lit(1).alias("v")), "k")
+
+
+def test_scores_skip_broken_vectors(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [1.0]), (7, [float("nan"), 1.0])], "k long, v array<double>")
+    assert {(r.query_id, r.k) for r in retrieval.nearest(rows, rows, "k", "v", 3).collect()} == {(1, 2), (2, 1)}
+    assert retrieval.nearest(rows.limit(0), rows, "k", "v", 1).count() == 0 == retrieval.nearest(rows, rows.limit(0), "k", "v", 1).count()
+
+
+def test_pairs_of_boxes_come_once(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(i % 3, i, "ab"[i % 2], rnd.randrange(300), rnd.randrange(300), rnd.randrange(0, 150), rnd.randrange(0, 150)) for i in range(150)]
+    boxes = spark.createDataFrame(rows, "t int, at int, norm string, x int, y int, w int, h int")
+    got = {(r.t, r.first, r.second): r.iou for r in trees.overlapping_pairs(boxes, "t", "at", "norm").collect()}
+
+    def iou(p, q):
+        w, h = min(p[3] + p[5], q[3] + q[5]) - max(p[3], q[3]), min(p[4] + p[6], q[4] + q[6]) - max(p[4], q[4])
+        shared = max(0, w) * max(0, h)
+        return shared / (p[5] * p[6] + q[5] * q[6] - shared) if shared else 0
+
+    want = {(p[0], p[1], q[1]): iou(p, q) for p in rows for q in rows if p[0] == q[0] and p[2] == q[2] and p[1] < q[1] and iou(p, q) > 0.2}
+    assert got == pytest.approx(want) and len(got) > 20
+    assert trees.overlapping_pairs(boxes, "t", "at", "norm").count() == len(want)
+
+
+def test_replayed_and_new_steps(spark):
+    old, new = spark.createDataFrame([(1, 0), (1, 1)], "k int, i int"), spark.createDataFrame([(1, 0), (2, 0)], "k int, i int")
+    assert sorted((r.k, r.segment, r.at) for r in steps.appended(old, new, ["k"], "i").collect()) == [(1, 0, 0), (1, 0, 1), (1, 1, 2), (2, 1, 0)]
+
+
+def test_deep_orders(spark):
+    nodes = spark.range(12).select(F.col("id").cast("string").alias("node"))
+    edges = spark.range(11).select(F.col("id").cast("string").alias("src"), (F.col("id") + 1).cast("string").alias("dst"))
+    assert {int(r.node): r.layer for r in graphs.topological(nodes, edges).collect()} == {i: i for i in range(12)}
+
+
 def test_sheet_operations(spark):
     df = spark.createDataFrame([("a", "2"), ("b", "10")], "k string, v string")
     assert [r.k for r in sheets.column_sort(df, "v", ascending=False).collect()] == ["b", "a"]
