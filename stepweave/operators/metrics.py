@@ -35,6 +35,10 @@ def ratio_score(df: DataFrame, ratio: Column) -> Score:
     return df.agg(F.coalesce(F.avg(ratio), F.lit(0.0)).alias("score"))
 
 
+def same_map(a: Column, b: Column) -> Column:
+    return F.array_sort(F.map_entries(a)) == F.array_sort(F.map_entries(b))
+
+
 # text
 
 REGISTRY |= {
@@ -63,7 +67,7 @@ REGISTRY |= {
     "check_global_key_play_pause": lambda text, want: score(F.when(T.last_value_of(text, "global-key-play-pause", "") != "", "1").otherwise("0") == F.lit(str(want))),
     "is_vlc_recordings_folder": lambda text, path: score(T.stripped(F.regexp_extract(T.col(text), r"(?m)^input-record-path=(.*)$", 1)) == F.lit(path)),
     "get_gimp_export_path": lambda text: T.filled(F.regexp_extract(T.col(text), r'(?m)^\(export-path "([^"]*)"\)', 1)),
-    "check_json_keybindings": lambda have, want: score(F.array_contains(F.from_json(F.regexp_replace(T.col(have), r"\A\s*//[^\n]*\n", ""), "array<map<string,string>>"), T.col(want))),
+    "check_json_keybindings": lambda have, want: score(F.exists(F.from_json(F.regexp_replace(T.col(have), r"\A\s*//[^\n]*\n", ""), "array<map<string,string>>"), lambda m: same_map(m, T.col(want)))),
     "check_html_background_image": lambda html, name: score(F.exists(F.regexp_extract_all(T.col(html), F.lit(r"(?s)<style[^>]*>(.*?)</style>"), F.lit(1)), lambda x: F.contains(x, F.lit(f"background-image: url('{name}')")))),
     "check_presenter_console_disable": lambda xml: score(F.lower(F.xpath_string(T.col(xml), F.lit("//*[local-name()='prop'][@*[local-name()='name']='EnablePresenterScreen']/*[local-name()='value']"))) == "false"),
     "find_default_font": lambda xml, font: score(F.xpath_string(T.col(xml), F.lit("//*[local-name()='prop'][@*[local-name()='name']='Standard']/*[local-name()='value']")) == F.lit(font)),
