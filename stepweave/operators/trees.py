@@ -115,10 +115,10 @@ def iou(a: str, b: str) -> Column:
 
 
 def overlapping_pairs(nodes: DataFrame, key: str, order: str, norm: str, cell: int = 64, least: float = 0.2) -> DataFrame:
-    """(key, first, second, iou) of boxes with one text that overlap. `order` is unique within a key.
+    """(key, first, second, iou) of boxes with one text that overlap; of boxes that share a place in the order, the largest.
 
     Boxes meet by key, text and a grid cell that both touch. A pair counts in one cell alone, that of the top-left corner of what
-    they share, so no pair comes twice and one shuffle is enough."""
+    they share, so that only pairs which overlap enough go on, once each."""
     touched = lambda at, size: F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.greatest(F.col(size), F.lit(1)) - 1) / cell))
     gridded = nodes.select(key, norm, F.col(order).alias("o"), *"xywh", F.explode(touched("x", "w")).alias("gx"), touched("y", "h").alias("gys")).withColumn("gy", F.explode("gys")).drop("gys")
     a = gridded.withColumnsRenamed({"o": "first", **{c: f"{c}1" for c in "xywh"}})
@@ -129,7 +129,7 @@ def overlapping_pairs(nodes: DataFrame, key: str, order: str, norm: str, cell: i
     pairs = a.join(b, [key, norm, "gx", "gy"]).where(here)
     shared = side("x", "w") * side("y", "h")
     ratio = shared / (F.col("w1") * F.col("h1") + F.col("w2") * F.col("h2") - shared)
-    return pairs.select(key, "first", "second", ratio.alias("iou")).where(F.col("iou") > least)
+    return pairs.select(key, "first", "second", ratio.alias("iou")).where(F.col("iou") > least).groupBy(key, "first", "second").agg(F.max("iou").alias("iou"))
 
 
 def drop_overlaps(nodes: DataFrame, key: str, order: str, norm: str, least: float = 0.2) -> DataFrame:
