@@ -7,7 +7,10 @@ keep the join from comparing all pairs of a group of near copies:
 * Index level. The list of a shingle is sorted by set size and cut in blocks. Classes whose range of sizes is out of reach of a
   block are skipped for the whole block, and so are those whose positions leave too few shingles to reach the threshold.
 * Answer level. Each set joins the group of one highly similar set, its leader: the smallest set of the lists that it shares most
-  of (a leader that has a leader takes its members along). A group is answered as a whole: block by block, an inverted index over whole sets gives all overlaps of a set at once.
+  of (a leader that has a leader takes its members along). A group is answered as a whole, block by block, with an inverted index over
+  the block's whole sets. A set's answer is its overlap with each set of the block. The first set's answer is read off the index;
+  the next one's is derived from the computed answer of a highly similar set: less the lists of the shingles that only that one has,
+  plus the lists of those that only the new one has. The lists of what both have, nearly all, are skipped.
   What is left is sets that meet another group. A set and a group stand once for each list that brings them together, not
   once a pair, and nothing is asked where both are of one class already. Answers come back as
   spanning forests.
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.llm.components import components
-from stepweave.llm.shared import text_batches, work_dir, written
+from stepweave.llm.shared import join_hot, text_batches, work_dir, written
 from stepweave.llm.sketch import cells_of, levels, repeated_cells, test_bits, width_for
 from stepweave.llm.wordhash import binary_parts, grams, mix, words_of
 
@@ -39,6 +42,8 @@ SHINGLE = 5
 #: Cells of the sketch that orders shingles.
 ORDER_CELLS = 1 << 21
 BLOCK = 64
+#: Computed answers that a block keeps, to derive others from.
+ANSWERS = 4
 #: Sets of a group, and sets that ask for it, that meet in one task.
 GROUP, ASKERS = 512, 1024
 #: A set joins a leader with which it shares this part of the front shingles that a link needs: groups may hold sets that don't
@@ -174,20 +179,22 @@ def _runs(key: np.ndarray) -> np.ndarray:
 
 
 def _whole_lists(batches, columns: int) -> Iterator[list[np.ndarray]]:
-    """Batches sorted by their first column, dealt again so that no list of equal keys is cut."""
-    rest = None
+    """Batches sorted by their first column, dealt again so that no list of equal keys is cut. An open list is put together once, at its end."""
+    held: list[list[np.ndarray]] = []
     for batch in batches:
         now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
         if not len(now[0]):
             continue
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
         last = int(np.searchsorted(now[0], now[0][-1]))
-        rest = [x[last:] for x in now]
-        if last:
+        if held and (last or now[0][0] != held[-1][0][-1]):
+            held.append([x[:last] for x in now])
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+        elif last:
             yield [x[:last] for x in now]
-    if rest is not None:
-        yield rest
+        held.append([x[last:] for x in now])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def _lists(batches):
@@ -290,7 +297,9 @@ def _arrays(wanted, width: int, n: int):
 
 
 class _Block:
-    """Whole sets of a block, with an inverted index: one pass over the shingles of a set gives its overlaps with all of them."""
+    """Whole sets of a block with an inverted index, and the computed answers from which others are derived.
+
+    An answer is the overlaps of one set with all sets of the block. `read` counts the postings that answers have cost."""
 
     def __init__(self, names: list[int], held: list[np.ndarray]) -> None:
         self.names, self.held = np.array(names, dtype=np.int64), held
@@ -299,13 +308,44 @@ class _Block:
         order = np.argsort(keys, kind="stable")
         self.keys, self.owners = keys[order], owners[order]
         self.root = np.arange(len(held))  # sets known to be linked have one root
+        self.answers: list[tuple[np.ndarray, np.ndarray]] = []  # (set, its overlaps), the last used one last
+        self.read = 0
 
-    def linked(self, found: np.ndarray, percent: int) -> np.ndarray:
-        """Places of the sets that link with one."""
-        a, b = np.searchsorted(self.keys, found, side="left"), np.searchsorted(self.keys, found, side="right")
+    def _postings(self, shingles: np.ndarray) -> np.ndarray:
+        """How many of the shingles each set of the block has."""
+        a, b = np.searchsorted(self.keys, shingles, side="left"), np.searchsorted(self.keys, shingles, side="right")
         n = b - a
         at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        shared = np.bincount(self.owners[at], minlength=len(self.names))
+        self.read += len(at)
+        return np.bincount(self.owners[at], minlength=len(self.names))
+
+    def overlaps(self, found: np.ndarray) -> np.ndarray:
+        """The answer of a set (sorted, distinct shingles): derived from that of the most similar of the ANSWERS last computed ones, if
+        the two differ in fewer shingles than the set has."""
+        best, own, theirs = None, found, None
+        for i, (other, _) in enumerate(self.answers):
+            if 2 * min(len(other), len(found)) <= max(len(other), len(found)):
+                continue
+            at = np.minimum(np.searchsorted(other, found), len(other) - 1)
+            added = other[at] != found
+            n = int(added.sum())
+            gone = len(other) - (len(found) - n)
+            if n + gone < (len(found) if best is None else len(own) + theirs):
+                best, own, theirs = i, found[added], gone
+        if best is None:
+            shared = self._postings(found)
+        else:
+            other, had = self.answers.pop(best)
+            at = np.minimum(np.searchsorted(found, other), len(found) - 1)
+            shared = had + self._postings(own) - self._postings(other[found[at] != other])
+            if len(self.answers) < ANSWERS - 1:
+                self.answers.append((other, had))
+        self.answers = [*self.answers[-(ANSWERS - 1) :], (found, shared)]
+        return shared
+
+    def linked(self, found: np.ndarray, percent: int) -> np.ndarray:
+        """Places of the sets that link with one."""
+        shared = self.overlaps(found)
         return np.flatnonzero((100 * shared >= percent * (self.sizes + len(found) - shared)) & (shared > 0))
 
     def join(self, found: np.ndarray, percent: int) -> np.ndarray:
@@ -415,8 +455,9 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
 
     component_id: the smallest doc_id that links reach."""
     known, alone = _classes(docs, shingle, percent)
+    known = written(known, work_dir(docs.sparkSession, "jaccard-known"))
     smallest = known.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    return known.join(smallest, "class").select("doc_id", "n_shingles", "component_id").union(alone)
+    return join_hot(known, smallest, "class").select("doc_id", "n_shingles", "component_id").union(alone)
 
 
 def one_of_each_class(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> DataFrame:

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where the session names none (tests), a folder of this process."""
+    """spark.checkpoint.dir. Where the session names none and all tasks run in this process (tests), a folder of this process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="stepweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -36,3 +39,28 @@ def text_batches(spark: SparkSession) -> None:
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Just these columns: others, whatever their names, can't clash with an operator's own."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def clear_names(columns: list[str], taken: list[str]) -> list[str]:
+    """columns, each that has a name of `taken` (whatever its case) with as many `_` at its end as make it new."""
+    used, out = {c.lower() for c in [*columns, *taken]}, []
+    for c in columns:
+        if c.lower() in {t.lower() for t in taken}:
+            while c.lower() in used:
+                c += "_"
+            used.add(c.lower())
+        out.append(c)
+    return out
+
+
+def join_hot(rows: DataFrame, found: DataFrame, key: str, share: int = 10_000) -> DataFrame:
+    """rows joined (inner) with found, which has one row a key, so that no task gets all rows of a key that very many rows have.
+
+    Keys with 1 / share of all rows or more are fewer than share + 1, so their rows of found are broadcast; all others meet by a
+    shuffle, where none has more than that part of the rows. rows is read three times: give it as a written table."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    least = max(2, -(-rows.count() // share))
+    hot = found.join(counts.where(F.col("_n") >= least).select(key), key, "left_semi")
+    named = rows.join(F.broadcast(hot.select(F.col(key).alias("_hot"))), F.col(key) == F.col("_hot"), "left")
+    many = named.where("_hot is not null").drop("_hot").join(F.broadcast(hot), key)
+    return many.unionByName(named.where("_hot is null").drop("_hot").join(found, key))

@@ -54,14 +54,21 @@ def _classes(n: int, links) -> list[int]:
     return [root(i) for i in range(n)]
 
 
+def shingles(text: str | None, n: int = 5) -> set:
+    w = space_words((text or "").translate(ASCII_LOWER))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+
+def classes_of(sets: list[set], percent: int = 80) -> list[int]:
+    """The class of each set, as the place of its first."""
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    return _classes(len(sets), links)
+
+
 def jaccard(docs: list[tuple], n: int = 5, percent: int = 80) -> list[tuple]:
     """(doc_id, set size, component) a row."""
-    sets = []
-    for _, t in docs:
-        w = space_words((t or "").translate(ASCII_LOWER))
-        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
-    links = [(i, j) for i in range(len(docs)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
-    classes = _classes(len(docs), links)
+    sets = [shingles(t, n) for _, t in docs]
+    classes = classes_of(sets, percent)
     out = []
     for i, (d, _) in enumerate(docs):
         ids = [docs[j][0] for j in range(len(docs)) if classes[j] == classes[i] and docs[j][0] is not None]
