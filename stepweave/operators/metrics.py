@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stepweave.functions import rules as R
 from stepweave.functions import text as T
+from stepweave.functions.selectors import tree_score
 from stepweave.functions.similarity import char_ratio, fuzzy_ratio, hash_distance, line_ratio, same_code, series_similarity, ssim
 from stepweave.functions.urls import equal_urls, matches_all, without_query
 from stepweave.operators.checks import REGISTRY, check, color_distance, every_row, image_statistics, lines_expected, mean_squared_difference, no_row, one, opaque_box, score, second_rarest_color, sharpness, some_row
@@ -113,6 +114,9 @@ def check_accessibility_tree(nodes: DataFrame, rules: list[dict]) -> Score:
     return nodes.agg(out.alias("score"))
 
 
+REGISTRY["check_accessibility_xml"] = tree_score
+
+
 @check
 def check_json(documents: DataFrame, json: str, expect: list[dict], unexpect: list[dict] = ()) -> Score:
     """Rules over paths {key: [...], method, ref}: a missing expected path fails; a missing unexpected one doesn't matter."""

@@ -60,6 +60,7 @@ ROWS = [
     ("auto_save", "events", "event_id", lambda: REGISTRY["check_auto_saving_time"](_xml("/p", "AutoSaveTimeIntervall", F.col("event_id") % 5), 3), "event_id % 5 = 3"),
     ("left_panel", "events", "event_id", lambda: REGISTRY["check_left_panel"](_text("<a><document-frame name='", _odd("event_id", "Slides View", "Notes"), "'/></a>")), "event_id % 2 = 1"),
     ("transition", "events", "event_id", lambda: REGISTRY["check_transition"](_text("<s><transition><", _odd("event_id", "dissolve", "wipe"), "/></transition></s>"), "dissolve"), "event_id % 2 = 1"),
+    ("accessibility_xml", "events", "event_id", lambda: REGISTRY["check_accessibility_xml"](_text("<d xmlns:st='urn:s'><a><b st:on='", _odd("event_id", "true", "false"), "'>", F.col("event_type"), "</b></a></d>"), [{"selectors": ["a > b[st|on=true]"], "text": "error"}]), "event_id % 2 = 1 and event_type = 'error'"),
     ("pdf_pages", "part", "p_partkey", lambda: REGISTRY["check_pdf_pages"]("p_size", "ge", 20), "p_size >= 20"),
     ("vlc_playing", "events", "event_id", lambda: REGISTRY["is_vlc_playing"](_odd("event_id", "playing", "paused"), F.concat(F.lit("/home/"), "event_type"), "error"), "event_id % 2 = 1 and event_type like '%error'"),
     ("speedtest_times", "events", "event_id", lambda: REGISTRY["compare_time_in_speedtest_results"]("ts", F.date_trunc("hour", "ts"), 30), "floor(epoch(ts)) - epoch(date_trunc('hour', ts)) <= 1800"),

@@ -187,3 +187,19 @@ def test_costs_files_and_tokens(spark):
     assert names == [f"a.org_y.pdf_{hashlib.blake2b(url.encode()).hexdigest()[:8]}", None]
     n = tokens_by(len)("t")
     assert [tuple(r) for r in df.select(n, tokens_left(n, 10), share_used(n, 12)).collect()] == [(6, 4, 0.5), (0, 10, 0.0)]
+
+
+def test_selectors_of_trees(spark):
+    from stepweave.functions.selectors import css_to_xpath, element_texts, elements, tree_score
+
+    xml = "<desk xmlns:st='urn:s'><app name='a' class='x y'><btn st:on='true'>Save as</btn><lab>one</lab><lab>two<i/>three</lab></app><app name='b'><btn>Open</btn></app></desk>"
+    rows = spark.createDataFrame([(xml,)], "x string")
+    count = lambda css: rows.select(elements("x", css_to_xpath(css))).first()[0]
+    assert [count(c) for c in ("btn", "app[name=a] > btn", "app[name='a'] lab", "desk > btn", "lab + lab", "btn ~ lab", ".y", "[st|on='true']", "app[name^=b], lab", "lab:nth-child(2)", "app:first-child btn", "app:not([name=a])", "*")] == [2, 1, 2, 0, 1, 2, 1, 1, 3, 1, 1, 1, 8]
+    assert rows.select(element_texts("x", "//lab")).first()[0] == ["one", "two"]
+    score = lambda *rules: rows.select(tree_score("x", list(rules))).first()[0]
+    assert score({"xpath": "//btn[@st:on='true']", "text": "Save as", "exact": True}, {"selectors": ["lab", "zzz"]}) == 1
+    assert score({"selectors": ["app[name=b] btn"], "text": "Save as"}) == 0 == score({"xpath": "//none"})
+    assert score({"selectors": ["btn"], "text": "Save at", "exact": False}) == pytest.approx(2 * 6 / 14)
+    with pytest.raises(ValueError):
+        css_to_xpath("a:hover")
