@@ -6,7 +6,7 @@ After each block a candidate's score is at most what it has plus |rest of query|
 candidates below the query's k-th best id so far leave, and the rest move together. Components are integers, sums are exact in
 double precision (below 2^53), and the bound is widened by a relative 1e-9, so no candidate is lost to rounding.
 
-Vectors that are null, of another length than most, or hold null or non-finite components take no part. Rows of
+Vectors that are null, empty, of another length than most (no inner product is defined), or hold null or non-finite components take no part. Rows of
 one id count once, by their best vector: however many they are, they hold one place of the k. A query never meets its own id. Equal scores go to the smaller id. An empty table gives none.
 """
 
@@ -125,6 +125,12 @@ def top_k(vectors: DataFrame, is_query: str, key: str = "vec_id", vector: str =
 
     Components become floor(scale * x). is_query: SQL over `id`."""
     spark = vectors.sparkSession
+
+    def best_of(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return found.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
+
     rows = usable(vectors, key, vector).select("id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
     rows = written(rows.dropDuplicates(["id", "v"]), work_dir(spark, "topk"))
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -134,19 +140,15 @@ def top_k(vectors: DataFrame, is_query: str, key: str = "vec_id", vector: str =
     else:
         rows = rows.where(F.size("v") == length.n)
         queries = rows.where(is_query)
-        n = queries.count()
-        parts = max(1, -(-n // block))
-        blocks = []
+        parts, path = max(1, -(-queries.count() // block)), work_dir(spark, "topk-found")
         for part in range(parts):
             own = queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).toArrow()
             ids, matrix = own.column("id").to_numpy(), _rows(own.column("v"))
             # where many rows hash alike, what is broadcast still keeps its size
             for a in range(0, max(1, len(ids)), 2 * block):
                 held = spark.sparkContext.broadcast((ids[a : a + 2 * block], matrix[a : a + 2 * block]))
-                blocks.append(rows.mapInArrow(_search(held, k), schema))
-        found = blocks[0]
-        for more in blocks[1:]:
-            found = found.union(more)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return found.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+                # each block is searched and written before the next one is read: the driver holds one
+                best_of(rows.mapInArrow(_search(held, k), schema)).write.mode("append").parquet(path)
+                held.destroy()
+        found = spark.read.schema(f"{schema}, rank int").parquet(path)
+    return found.select("query_id", "rank", "vec_id", "score") if length else best_of(found).select("query_id", "rank", "vec_id", "score")
