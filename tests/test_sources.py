@@ -69,6 +69,44 @@ def test_workbook_cells(spark, tmp_path):
     assert files.sheet_by_address(files.workbooks(spark, str(tmp_path / "a.xlsx")), "RNS", ["S"]).count() == 2
 
 
+def test_properties_of_workbooks(spark, tmp_path):
+    from stepweave.operators import metrics
+    from stepweave.sources import workbooks
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    link = lambda *rows: "<Relationships>" + "".join(f'<Relationship Id="{i}" Type="x/{t}" Target="{p}"/>' for i, t, p in rows) + "</Relationships>"
+    parts = {
+        "xl/workbook.xml": f'<workbook {main}><sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": link(("r1", "worksheet", "worksheets/sheet1.xml")),
+        "xl/styles.xml": f'<styleSheet {main}><numFmts><numFmt numFmtId="164" formatCode="0.00%"/></numFmts><fonts><font><name val="Serif"/><b/><color rgb="FFFF0000"/></font></fonts><fills><fill><patternFill patternType="solid"><fgColor rgb="FF00FF00"/></patternFill></fill></fills><cellXfs><xf numFmtId="164" fontId="0" fillId="0"><alignment horizontal="center"/></xf></cellXfs></styleSheet>',
+        "xl/worksheets/sheet1.xml": f'<worksheet {main}><sheetViews><sheetView zoomScale="260"><pane topLeftCell="B2" state="frozen"/></sheetView></sheetViews><cols><col min="2" max="3" width="12.5"/></cols><sheetData><row r="1" ht="20" hidden="1"><c r="A1" s="0"><v>1</v></c></row></sheetData><autoFilter ref="A1:B9"><filterColumn colId="1"><filters><filter val="y"/><filter val="x"/></filters></filterColumn></autoFilter><conditionalFormatting sqref="A1:A9"><cfRule type="cellIs" operator="lessThan"><formula>60</formula></cfRule></conditionalFormatting><dataValidations><dataValidation type="list" sqref="D2"><formula1>"a,b"</formula1></dataValidation></dataValidations><extLst><sparkline><f>S!C3:E3</f><sqref>F3</sqref></sparkline></extLst></worksheet>',
+        "xl/worksheets/_rels/sheet1.xml.rels": link(("d", "drawing", "../drawings/drawing1.xml"), ("p", "pivotTable", "../pivotTables/p1.xml")),
+        "xl/drawings/drawing1.xml": "<d/>",
+        "xl/drawings/_rels/drawing1.xml.rels": link(("c", "chart", "../charts/chart1.xml")),
+        "xl/charts/chart1.xml": "<chartSpace><chart><title><t>Sales</t></title><plotArea><barChart><barDir val='col'/><ser><val><f>S!$B$2:$B$9</f></val></ser></barChart><catAx><title><t>Year</t></title></catAx><valAx/></plotArea><legend><legendPos val='r'/></legend></chart></chartSpace>",
+        "xl/pivotTables/p1.xml": "<pivotTableDefinition name='P'><location ref='H1:J9'/><rowFields><field x='0'/></rowFields><colFields><field x='-2'/></colFields><dataFields><dataField fld='1' subtotal='count'/></dataFields></pivotTableDefinition>",
+        "xl/pivotTables/_rels/p1.xml.rels": link(("k", "pivotCacheDefinition", "../pivotCache/c1.xml")),
+        "xl/pivotCache/c1.xml": "<pivotCacheDefinition><cacheSource><worksheetSource ref='A1:B9' sheet='S'/></cacheSource><cacheFields><cacheField name='Name'/><cacheField name='Sum'/></cacheFields></pivotCacheDefinition>",
+    }
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    (tmp_path / "b.xlsx").write_bytes(buffer.getvalue())
+    rows = workbooks.properties(spark, str(tmp_path / "b.xlsx"))
+    got = {(r.part, r["at"], r.key): r.value for r in rows.collect()}
+    want = {
+        ("view", "", "zoom"): "260", ("view", "", "freeze"): "B2", ("column", "2", "width"): "12.5", ("column", "3", "width"): "12.5", ("row", "1", "height"): "20", ("row", "1", "hidden"): "1",
+        ("cell", "A1", "number_format"): "0.00%", ("cell", "A1", "font_name"): "Serif", ("cell", "A1", "font_color"): "FFFF0000", ("cell", "A1", "font_bold"): "true", ("cell", "A1", "font_italic"): "false", ("cell", "A1", "fill_type"): "solid", ("cell", "A1", "fill_color"): "FF00FF00", ("cell", "A1", "h_align"): "center",
+        ("filter", "A1:B9", "ref"): "A1:B9", ("filter", "A1:B9", "column 1"): "x,y", ("validation", "D2", "type"): "list", ("validation", "D2", "formula1"): '"a,b"', ("conditional", "A1:A9", "cellIs lessThan"): "60", ("sparkline", "F3", "source"): "S!C3:E3",
+        ("chart", "S!$B$2:$B$9", "type"): "barChart", ("chart", "S!$B$2:$B$9", "direction"): "col", ("chart", "S!$B$2:$B$9", "title"): "Sales", ("chart", "S!$B$2:$B$9", "xtitle"): "Year", ("chart", "S!$B$2:$B$9", "legend"): "r",
+        ("pivot", "H1:J9", "name"): "P", ("pivot", "H1:J9", "source"): "S!A1:B9", ("pivot", "H1:J9", "filter"): "", ("pivot", "H1:J9", "row"): "Name", ("pivot", "H1:J9", "column"): "-2", ("pivot", "H1:J9", "value"): "count:Sum",
+    }
+    assert got == want and workbooks.workbook_properties(b"no zip") == []
+    rule = {"type": "style", "table": "p", "prop": "value", "method": "eq", "ref": "260"}
+    assert metrics.compare_table({"p": rows}, {"p": rows}, [{"type": "chart", "table": "p"}, rule]).first().score == 1
+
+
 def test_sqlite_both_ways(spark, tmp_path):
     path = str(tmp_path / "h.db")
     visits = spark.createDataFrame([("u", "a", 1), ("u", "b", 2), ("v", "c", 3)], "url string, title string, visited long")
