@@ -47,8 +47,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents come in two arrivals, with a cache that is empty at first: the second finds what the first has counted, and counts the rest.
+
+    The cache is in a new folder, so that a run never gets by on the counts of another one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), work_dir(spark, "token-counts"))
+    tokenizer, cache = public_tokenizers.path("piece_bpe_32k.model"), work_dir(spark, "token-counts")
+    token_counts.fill_cache(docs.where("pmod(xxhash64(doc_id), 2) = 0"), tokenizer, cache)
+    return token_counts.token_counts(docs, tokenizer, cache)
 
 
 def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,12 +65,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.append_each(table(spark, sf_dir, "documents"), f"pmod(xxhash64(doc_id), {ARRIVALS})")
     store.compact()
     store.vacuum()
-    version = store.manifest()["version"]
     rows = store.read()
     if rows is None:
-        return spark.createDataFrame([], "doc_id long, n_bytes long, text_sha256 string, shard string, version int")
+        return spark.createDataFrame([], "doc_id long, n_bytes long, text_sha256 string")
     text = F.coalesce("text", F.lit(""))
-    return rows.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"), F.col("_metadata.file_name").alias("shard"), F.lit(version).alias("version"))
+    return rows.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +137,9 @@ with recursive unit as (
 select e.vec_id, cast(coalesce((select count(*) from links where u = e.vec_id), 0) as bigint) as n_links,
   coalesce(s.least, e.vec_id) as component_id, coalesce(s.least, e.vec_id) = e.vec_id as kept
 from embeddings e left join smallest s on s.id = e.vec_id
+""",
+    "op8_sharding": """
+select doc_id, cast(octet_length(encode(coalesce(text, ''))) as bigint) as n_bytes, sha256(coalesce(text, '')) as text_sha256 from documents
 """,
     "op9_substring_dedup": r"""
 with words as (
