@@ -1,8 +1,8 @@
 """Licence scans by diagonal voting, in DataFrame functions alone.
 
-Each text becomes words, and each two consecutive words a hash with a place. One broadcast join brings all these hashes to the
-places of the same hash in the templates (a fixed table, written below). A match votes for the diagonal place - template
-place. The base phrases need all votes of a diagonal: their words then stand consecutively. The longer templates need
+Each text becomes words, and each `k` consecutive words a rolling hash with a place. One broadcast join brings all these hashes to the
+places of the same hash in the templates (a fixed table, written below), and each match is verified by the words themselves. A match votes
+for the diagonal place - template place. The base phrases need all votes of a diagonal: their words then stand consecutively. The longer templates need
 SEED votes on a diagonal; seeds not more than GAP diagonals apart (words put in or left out) are merged, and a span
 is verified if it covers COVER of the template's places.
 
@@ -40,6 +40,8 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 
+#: Words of a hash: no more than the shortest base phrase has.
+K = 2
 SEED, GAP, COVER = 3, 4, 0.7
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The hash that each text has once, beside those of its words.
@@ -52,30 +54,35 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _BREAKS), "")
 
 
-def _hashes(column: str) -> Column:
-    """Of each word and the one after it."""
-    return F.expr(f"slice(transform({column}, (x, i) -> xxhash64(x, get({column}, i + 1))), 1, greatest(size({column}) - 1, 0))")
+def _grams(column: str, k: int) -> Column:
+    """(hash, words) of each k consecutive words."""
+    some = ["x", *[f"get({column}, i + {j})" for j in range(1, k)]]
+    return F.expr(f"slice(transform({column}, (x, i) -> struct(xxhash64({', '.join(some)}) as hash, concat_ws(' ', {', '.join(some)}) as gram)), 1, greatest(size({column}) - {k - 1}, 0))")
 
 
-def template_table(spark: SparkSession) -> DataFrame:
-    """(hash, template, at, size, base, label): a row for each place of each template, and the mark."""
+def template_table(spark: SparkSession, k: int = K) -> DataFrame:
+    """(hash, gram, template, at, size, base, label): a row for each place of each template, and the mark."""
     rows = [(i, phrase, label, True) for i, (phrase, label) in enumerate(BASE.items())]
     rows += [(len(rows) + i, text, label, False) for i, (label, text) in enumerate(TEMPLATES)]
+    if k > min(len(phrase.split()) for _, phrase, _, _ in rows):
+        raise ValueError(f"a phrase has fewer than {k} words")
     table = spark.createDataFrame(rows, "template int, phrase string, label string, base boolean").withColumn("w", words(F.col("phrase")))
-    table = table.select("template", (F.size("w") - 1).alias("size"), "base", "label", F.posexplode(_hashes("w")).alias("at", "hash"))
-    mark = spark.createDataFrame([(-1, 0, False, "", 0, _MARK)], "template int, size int, base boolean, label string, at int, hash long")
-    return table.select(*mark.columns).union(mark)
+    table = table.select("template", (F.size("w") - (k - 1)).alias("size"), "base", "label", F.posexplode(_grams("w", k)).alias("at", "g"))
+    mark = spark.createDataFrame([(-1, 0, False, "", 0, _MARK, "")], "template int, size int, base boolean, label string, at int, hash long, gram string")
+    return table.select("template", "size", "base", "label", "at", "g.hash", "g.gram").union(mark)
 
 
-def license_scan(docs: DataFrame, seed: int = SEED, gap: int = GAP, cover: float = COVER) -> DataFrame:
+def license_scan(docs: DataFrame, seed: int = SEED, gap: int = GAP, cover: float = COVER, k: int = K) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans).
 
     first_word and last_word: of the base places. score: 1 with a base place, else the largest covered share of a verified
     template, else 0. spans: (label, first word, last word, covered share) of the verified templates."""
     spark = docs.sparkSession
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string")).alias("w"))
-    grams = texts.select("row", "doc_id", F.size("w").alias("n_words"), F.posexplode(F.array_append(_hashes("w"), F.lit(_MARK).cast("long"))).alias("place", "hash"))
-    votes = grams.join(F.broadcast(template_table(spark)), "hash")
+    mark = F.struct(F.lit(_MARK).cast("long").alias("hash"), F.lit("").alias("gram"))
+    grams = texts.select("row", "doc_id", F.size("w").alias("n_words"), F.posexplode(F.array_append(_grams("w", k), mark)).alias("place", "g"))
+    grams = grams.select("row", "doc_id", "n_words", "place", "g.hash", F.col("g.gram").alias("own_gram"))
+    votes = grams.join(F.broadcast(template_table(spark, k)), "hash").where("own_gram = gram")
     votes = votes.withColumn("diagonal", F.when(F.col("template") >= 0, F.col("place") - F.col("at")).otherwise(0))
     lines = votes.groupBy("row", "doc_id", "n_words", "template", "size", "base", "label", "diagonal").agg(F.collect_set("at").alias("ats"))
     votes_of = F.size("ats")
@@ -87,7 +94,7 @@ def license_scan(docs: DataFrame, seed: int = SEED, gap: int = GAP, cover: float
     spans = lines.groupBy("row", "doc_id", "n_words", "template", "size", "base", "label", "span").agg(
         F.min("diagonal").alias("start"),
         F.min(F.col("diagonal") + F.array_min("ats")).cast("long").alias("first"),
-        F.max(F.col("diagonal") + F.array_max("ats") + 1).cast("long").alias("last"),
+        F.max(F.col("diagonal") + F.array_max("ats") + k - 1).cast("long").alias("last"),
         (F.size(F.array_distinct(F.flatten(F.collect_list("ats")))) / F.greatest("size", F.lit(1))).alias("covered"),
     )
     own, known = ~F.col("base") & (F.col("template") >= 0) & (F.col("covered") >= cover), F.col("base")
