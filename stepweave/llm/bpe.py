@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from stepweave.llm.shared import text_batches
+from stepweave.llm.shared import clear_names, text_batches
 
 #: Matches that a worker remembers.
 REMEMBERED = 300_000
@@ -128,11 +128,12 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) -> its other columns, n_tokens, ids_sha256, decoded_sha256; ids as array<int> and the
-    decoded bytes as `decoded` if asked for. A column of docs with one of these names is renamed with a trailing `_`."""
+    decoded bytes as `decoded` if asked for. A column of docs with one of these names is renamed by trailing `_`.
+
+    Null texts count as empty: no ids. Repeated rows each give a row. An empty table gives an empty one."""
     text_batches(docs.sparkSession)
     added = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
     added += [StructField("ids", ArrayType(IntegerType()))] * with_ids + [StructField("decoded", BinaryType())] * with_text
-    taken = {f.name for f in added}
     others = [c for c in docs.columns if c != "text"]
     packed = docs.select(F.col("text").cast("string").alias("_text"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(others)])
     schema = StructType([*packed.schema.fields[1:], *added])
@@ -152,4 +153,5 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = Fal
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     out = packed.mapInArrow(rows, schema)
-    return out.select(*[F.col(f"_{i}").alias(f"{c}_" if c in taken else c) for i, c in enumerate(others)], *[f.name for f in added])
+    names = [f.name for f in added]
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(clear_names(others, names))], *names)

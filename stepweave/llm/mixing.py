@@ -168,7 +168,8 @@ def mix(docs: DataFrame, labelled: DataFrame, domains: list[str], targets, least
 
 def resampled(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """docs, each row as often as its document has copies."""
-    rates = mixed.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("copies").alias("_copies"))
-    keyed = docs.withColumn("_own_digest", F.xxhash64(F.col("text").cast("string")))
-    joined = keyed.join(rates, (keyed["doc_id"].cast("long").eqNullSafe(rates["_id"])) & (keyed["_own_digest"] == rates["_digest"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).where("_copies > 0").select(*[joined[f"`{c}`"] for c in docs.columns])
+    rates = mixed.select(F.col("doc_id").alias("id"), "digest", "copies").where("copies > 0")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so that no column of docs clashes with one of these
+    keyed = docs.select(whole, F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_digest"))
+    joined = keyed.join(rates, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_digest") == F.col("digest")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

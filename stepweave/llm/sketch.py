@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from stepweave.llm.shared import give_back
 from stepweave.llm.wordhash import mix
 
 DEPTH = 2
@@ -106,16 +107,21 @@ def _merged(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarr
 def repeated_cells(df: DataFrame, keys_of, width: int, hot: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Bits of cells, packed, DEPTH rows one after another: counted twice or more; counted hot times or more, of min(width, HOT_WIDTH) cells a row."""
 
+    size = min(SLICE, width) // 8
+
     def finish(counts: np.ndarray) -> bytes:
-        return np.packbits(counts >= 2).tobytes() + np.packbits(counts >= hot).tobytes()
+        return pa.compress(np.packbits(counts >= 2).tobytes() + np.packbits(counts >= hot).tobytes(), codec="zstd", asbytes=True)
 
-    size, per_row, hot_per_row = min(SLICE, width) // 8, max(1, width // SLICE), max(1, min(width, HOT_WIDTH) // SLICE)
+    per_row, hot_per_row = max(1, width // SLICE), max(1, min(width, HOT_WIDTH) // SLICE)
     found, often = np.zeros(DEPTH * width // 8, dtype=np.uint8), np.zeros(DEPTH * min(width, HOT_WIDTH) // 8, dtype=np.uint8)
-    for part, cells in _merged(df, keys_of, width, DEPTH, "slice int, cells binary", finish).collect():
-        both = np.frombuffer(bytes(cells), dtype=np.uint8)
+    rows = _merged(df, keys_of, width, DEPTH, "slice int, cells binary", finish).toArrow()
+    for part, cells in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+        both = np.frombuffer(pa.decompress(cells.as_buffer(), decompressed_size=2 * size, codec="zstd"), dtype=np.uint8)
         found[part * size : (part + 1) * size] = both[:size]
         at = (part // per_row) * hot_per_row + part % per_row % hot_per_row
         often[at * size : (at + 1) * size] |= both[size:]
+    del rows
+    give_back()
     return found, often
 
 
