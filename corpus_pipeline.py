@@ -10,7 +10,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepweave.llm import bpe, jaccard, mixing, substrings, toxicity
@@ -21,33 +21,37 @@ from stepweave.session import table
 LANGUAGES = {"de": 0.18, "en": 0.55, "es": 0.11, "fr": 0.16}
 
 
+def _row(docs: DataFrame, *but: str) -> Column:
+    """All columns (`but` some) as one, so that none clashes with a column that a stage needs."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in but]).alias("row")
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Labels come from all labelled rows of the input; rows with null or empty texts have no sign of toxicity."""
     index = toxicity.fit(docs, table(spark, sf_dir, "labels"), "true")
-    scored = toxicity.score(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), index, keep=["row"])
+    scored = toxicity.score(docs.select(_row(docs), "text"), index, keep=["row"])
     return scored.where("score < 0.5").select("row.*")
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated rows are one class too, so one of them stays. Texts without words link with nothing and all stay.
 
-    Rows are found by doc_id and text: different texts may share a doc_id, or have none, and each class keeps a row of its own."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    numbered = docs.withColumn("_words", F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) > 0)
-    row = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_without")]
-    keep = jaccard.one_of_each_class(docs).select(*row, F.col("text_id").alias("_text"))
-    named = numbered.where("_words").select(*columns, *row, jaccard.text_id("text").alias("_text")).join(keep, ["_id", "_without", "_text"], "left_semi")
-    # rows that share both are repeated rows: one of them
-    order = Window.partitionBy("_id", "_without", "_text").orderBy(F.monotonically_increasing_id())
-    first = named.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(*columns)
-    return first.union(numbered.where("not _words").select(*columns))
+    Rows are found by doc_id and text: different texts may share a doc_id, or have none, and each class keeps a row of its own.
+    Of rows that share both, the one whose columns, as text, have the smallest hash."""
+    has_words = F.length(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", "")) > 0
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("without")]
+    keep = jaccard.one_of_each_class(docs).select(*key, F.col("text_id").alias("of_text"))
+    named = docs.where(has_words).select(_row(docs), *key, jaccard.text_id("text").alias("of_text")).join(keep, ["id", "without", "of_text"], "left_semi")
+    order = Window.partitionBy("id", "without", "of_text").orderBy(F.xxhash64(F.to_json("row")))
+    first = named.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("row.*")
+    return first.union(docs.where(~has_words))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substrings.cut_repeats(docs)
-    columns = {c: F.col(f"`{c}`") for c in docs.columns}
+    cut = substrings.cut_repeats(docs.select("doc_id", "text", _row(docs, "text")))
+    columns = {c: F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(columns["n_chars"]).cast(dict(docs.dtypes)["n_chars"])
     return cut.select(*[c.alias(name) for name, c in columns.items()])
 
 
