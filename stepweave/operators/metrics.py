@@ -306,8 +306,9 @@ def check_tabstops(a: DataFrame, b: DataFrame, width: float, words: int | None =
 
 @check
 def evaluate_strike_through_last_paragraph(runs: DataFrame) -> Score:
-    last = F.max("p").over(Window.partitionBy("doc"))
-    return every_row(runs.withColumn("last", last).where("p = last"), F.coalesce("strike", F.lit(False)))
+    """By paragraph first: a document's runs need not meet in one task."""
+    paragraphs = runs.groupBy("doc", "p").agg(F.bool_and(F.coalesce("strike", F.lit(False))).alias("strike"))
+    return every_row(paragraphs.groupBy("doc").agg(F.max_by("strike", "p").alias("strike")), F.col("strike"))
 
 
 @check

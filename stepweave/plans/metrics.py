@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepweave.operators import metrics as M
@@ -153,12 +153,18 @@ def metric_paragraphs(spark, sf_dir):
     )
 
 
+def _lines(spark, sf_dir, *by: str) -> DataFrame:
+    """Lines of orders with their number `n` by some columns, from 0: line numbers repeat within orders. It goes by all that the metrics read, so both sides of a comparison number alike."""
+    order = ["l_linenumber", "l_returnflag", "l_linestatus", "l_quantity"]
+    return table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+
+
 def _runs(spark, sf_dir) -> DataFrame:
     """Lines of orders as runs of paragraphs."""
-    return table(spark, sf_dir, "lineitem").select(
-        F.lit("doc").alias("doc"), F.col("l_orderkey").alias("p"), F.col("l_linenumber").alias("r"), F.when(F.col("l_returnflag") == "R", "Mono").otherwise("Serif").alias("font"), (F.col("l_returnflag") == "A").alias("equation"),
+    return _lines(spark, sf_dir, "l_orderkey").select(
+        F.lit("doc").alias("doc"), F.col("l_orderkey").alias("p"), F.col("n").alias("r"), F.when(F.col("l_returnflag") == "R", "Mono").otherwise("Serif").alias("font"), (F.col("l_returnflag") == "A").alias("equation"),
         (F.col("l_linestatus") == "O").alias("has_image"), (F.col("l_quantity") == 50).alias("page_break"), (F.col("l_returnflag") == "R").alias("strike"), (F.col("l_linestatus") == "F").alias("italic"), F.when(F.col("l_linestatus") == "F", 14).otherwise(10).alias("size"),
-    ).dropDuplicates(["p", "r"])
+    )
 
 
 _ONE = "(select * from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber) = 1)"

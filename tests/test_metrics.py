@@ -192,3 +192,11 @@ def test_other_responses(spark):
     df = spark.createDataFrame([("```python\nx = 1\nDONE\n```", '[{"reasoning": " r ", "action": "a"}, {"reasoning": "", "action": "b"}]', '{"tasks": [{"description": "d"}, "e", {}]}')], "code string, cand string, tasks string")
     row = df.select(P.code_actions("code").alias("c"), P.candidates("cand").alias("k"), P.proposals("tasks").alias("t"), P.match_flag("cand").alias("m")).first()
     assert row.c == ["x = 1", "DONE"] and [tuple(k) for k in row.k] == [("r", "a")] and row.t == ["d", "e"] and row.m is False
+
+
+def test_strike_through_of_each_last_paragraph(spark):
+    runs = lambda *rows: spark.createDataFrame(list(rows), "doc string, p int, r int, strike boolean")
+    struck = [("a", 1, 0, False), ("a", 2, 0, True), ("a", 2, 1, True), (None, 1, 0, True), ("b", None, 0, False)]
+    assert value(M.evaluate_strike_through_last_paragraph(runs(*struck))) == 1
+    assert value(M.evaluate_strike_through_last_paragraph(runs(*struck, ("a", 2, 2, None)))) == 0
+    assert value(M.evaluate_strike_through_last_paragraph(runs(*struck, ("c", 1, 0, False), ("c", 1, 1, True)))) == 0

@@ -76,3 +76,28 @@ def test_threshold_pairs_of_all_vectors(spark, tmp_path, monkeypatch):
     cosines = unit @ unit.T
     want = {(i, j): cosines[i, j] for i in range(60) for j in range(60) if i != j and 1 - cosines[i, j] < 0.7}
     assert got == pytest.approx(want, abs=1e-6) and max(i for i, _ in got) > 10
+
+
+def repeated_lines(spark, path, *rows):
+    """lineitem of (order, line number, flag, status, quantity), in one file, and a database that holds it."""
+    spark.createDataFrame(list(rows), "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_quantity double").coalesce(1).write.parquet(f"{path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{path}/lineitem.parquet/*.parquet'")
+    return con
+
+
+RUNS = [(1, 1, "N", "O", 1.0), (1, 1, "R", "F", 50.0), (1, 1, "A", "O", 3.0), (1, 2, "N", "O", 2.0), (2, 1, "R", "O", 4.0), (2, 1, "N", "O", 4.0), (2, 1, "N", "O", 4.0)]
+
+
+def test_runs_of_repeated_line_numbers(spark, tmp_path):
+    """All lines count, whichever of a number comes first."""
+    from stepweave.plans.metrics import _runs
+
+    found = []
+    for name, rows in (("as", RUNS), ("reversed", RUNS[::-1])):
+        con = repeated_lines(spark, tmp_path / name, *rows)
+        pd.testing.assert_frame_equal(text(QUERIES["metric_runs"].run(spark, str(tmp_path / name)).toPandas()), text(con.execute(QUERIES["metric_runs"].sql).df()), check_dtype=False)
+        runs = _runs(spark, str(tmp_path / name)).collect()
+        found.append(sorted(runs))
+        assert len(runs) == len({(r.p, r.r) for r in runs}) == len(RUNS)
+    assert found[0] == found[1]
