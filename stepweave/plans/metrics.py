@@ -209,10 +209,11 @@ def metric_train_records(spark, sf_dir):
     ),
 )
 def metric_slides(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
-    runs = rows.select(F.col("l_orderkey").alias("slide"), F.lit(0).alias("shape"), F.lit(0).alias("paragraph"), F.col("l_linenumber").alias("run"), F.col("l_returnflag").alias("text"), F.col("l_quantity").alias("left"), (F.col("l_returnflag") == "R").alias("strike"))
+    """A line number is a paragraph, its lines are the runs; of the first runs the SQL leaves the choice open."""
+    rows = _lines(spark, sf_dir, "l_orderkey", "l_linenumber")
+    runs = rows.select(F.col("l_orderkey").alias("slide"), F.lit(0).alias("shape"), F.col("l_linenumber").alias("paragraph"), F.col("n").alias("run"), F.col("l_returnflag").alias("text"), F.col("l_quantity").alias("left"), (F.col("l_returnflag") == "R").alias("strike"))
     slides = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") * 30).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"), F.lit(False).alias("unchanged"))
-    first = rows.where("l_linenumber in (1, 2)").select(F.lit(0).alias("slide"), F.lit(0).alias("shape"), F.lit(0).alias("paragraph"), F.lit(0).alias("run"), (F.col("l_returnflag") == "R").alias("strike"))
+    first = rows.where("l_linenumber in (1, 2)").select(F.lit(0).alias("slide"), F.lit(0).alias("shape"), F.lit(0).alias("paragraph"), F.col("n").alias("run"), (F.col("l_returnflag") == "R").alias("strike"))
     return _cases(
         same=M.compare_pptx_files(runs, runs, ("text", "left")), moved=M.compare_pptx_files(runs, runs.withColumn("left", F.col("left") + 1), ("text", "left")), strike=M.check_strikethrough(first, [0], [0], [0]),
         fill=M.evaluate_presentation_fill_to_rgb_distance(slides, (0, 0, 0)).select(F.round("score", 9).alias("score")), colored=M.check_page_number_colors(slides.where("r < 0"), "red"),

@@ -101,3 +101,15 @@ def test_runs_of_repeated_line_numbers(spark, tmp_path):
         found.append(sorted(runs))
         assert len(runs) == len({(r.p, r.r) for r in runs}) == len(RUNS)
     assert found[0] == found[1]
+
+
+SLIDES = [(1, 1, "R", "O", 400.0), (1, 1, "R", "O", 2.0), (1, 2, "R", "O", 400.0), (2, 1, "R", "O", 400.0), (2, 5, "N", "O", 400.0)]
+
+
+@pytest.mark.parametrize("rows, moved, struck", [(SLIDES, 0, 1), (SLIDES[::-1], 0, 1), ([SLIDES[0], *SLIDES[2:]], 1, 1), ([*SLIDES, (3, 2, "N", "F", 1.0)], 0, 0)])
+def test_slides_of_repeated_line_numbers(spark, tmp_path, rows, moved, struck):
+    con = repeated_lines(spark, tmp_path, *rows)
+    got = QUERIES["metric_slides"].run(spark, str(tmp_path)).toPandas()
+    pd.testing.assert_frame_equal(text(got), text(con.execute(QUERIES["metric_slides"].sql).df()), check_dtype=False)
+    scores = dict(zip(got.name, got.score))
+    assert (scores["same"], scores["moved"], scores["strike"]) == (1, moved, struck)
